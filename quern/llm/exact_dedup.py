@@ -78,7 +78,8 @@ def same_bytes(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     One document stands for each group, so a group's size doesn't matter."""
     ids = materialize(pairs.select("sha", F.explode(F.array("keep", "base_keep")).alias("doc_id")), "buckets")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    compared = texts.join(ids, "doc_id").groupBy("sha").agg((F.min("body") == F.max("body")).alias("same"))
+    # always a merge join: each text moves once at any size, where a broadcast would stop fitting at some size
+    compared = texts.join(ids.hint("merge"), "doc_id").groupBy("sha").agg((F.min("body") == F.max("body")).alias("same"))
     return pairs.join(compared, "sha")
 
 
