@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup
+from quern.llm import bpe, exact_dedup, packing
 from quern.llm.common import documents, small_batches
 
 
@@ -16,7 +16,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"), lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return bpe.encode(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
