@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, exact_dedup, packing
+from quern.llm import bpe, exact_dedup, packing, secrets, simhash
 from quern.llm.common import documents, small_batches
 
 
@@ -21,6 +21,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
+    return secrets.report(findings)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 1000)
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.encode(documents(spark, sf_dir, "doc_id", "text"))
@@ -28,11 +38,36 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_secrets": op3_secrets,
+    "op6_simhash": op6_simhash,
     "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_secrets": r"""
+        WITH rules(k, kind, pattern, grp, least) AS (VALUES
+            (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+            (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24)),
+        hits AS (
+            SELECT doc_id, k, kind, least, string_split_regex(coalesce(text, ''), pattern) AS gaps,
+                   CASE k WHEN 0 THEN regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0)
+                          WHEN 1 THEN regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+', 0)
+                          ELSE regexp_extract_all(coalesce(text, ''), '[0-9a-f]+', 0) END AS found,
+                   CASE k WHEN 0 THEN regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE NULL END AS parts
+            FROM documents, rules),
+        one AS (
+            SELECT doc_id, k, kind, least, i, found[i] AS hit, coalesce(parts[i], found[i]) AS part,
+                   list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS start
+            FROM hits, unnest(range(1, len(found) + 1)) AS u(i)
+            WHERE length(coalesce(parts[i], found[i])) >= least),
+        said AS (
+            SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+                   string_agg(kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT, ',' ORDER BY start, k) AS spans
+            FROM one GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN said USING (doc_id)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
