@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, exact_dedup, gif, packing, secrets, simhash
+from quern.llm import bpe, exact_dedup, gif, language, packing, secrets, simhash
 from quern.llm.common import documents, small_batches
 
 
@@ -26,6 +26,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(findings)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 200)
     return gif.features(gif.store(documents(spark, sf_dir, "doc_id", "text")))
@@ -44,6 +49,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_secrets": op3_secrets,
+    "op4_language": op4_language,
     "op5_gif": op5_gif,
     "op6_simhash": op6_simhash,
     "op8_bpe": op8_bpe,
