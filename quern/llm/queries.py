@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, exact_dedup, gif, language, packing, secrets, simhash
+from quern.llm import bpe, exact_dedup, gif, language, packing, secrets, simhash, toxicity
 from quern.llm.common import documents, small_batches
 
 
@@ -41,6 +41,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.rate(documents(spark, sf_dir, "doc_id", "text"), labels, lambda doc_id: language.remainder(doc_id) == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.encode(documents(spark, sf_dir, "doc_id", "text"))
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_gif": op5_gif,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
