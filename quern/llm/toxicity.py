@@ -100,7 +100,9 @@ class Restorer:
         core = low
         while (cut := _EDGES.sub("", core)) != core:
             core = cut
-        if len(core) <= LONGEST and 2 * sum(map(str.isalpha, core)) >= len(core) and _DISGUISED.search(core):
+        letters = sum(map(str.isalpha, core))
+        plausible = 2 * letters >= len(core) or letters >= 2 and all(c.isalpha() or c in SIGNS for c in core)
+        if len(core) <= LONGEST and plausible and _DISGUISED.search(core):
             return self.viterbi(core)
         return core
 
@@ -115,7 +117,7 @@ class Restorer:
                 readings = [(c * min(n, 2), STRETCHED * (n > 2))] + ([(c, STRETCHED)] if n > 1 else [])
             else:
                 readings = [(x * k, SUBSTITUTED * k) for x in SIGNS.get(c, "") for k in {1, min(n, 2)}]
-                readings.append(("", SKIPPED * (1 if c in ".-_*'’·" else 2)))
+                readings.append(("", SKIPPED * (4 * n if c in SIGNS else 1 if c in ".-_*'’·" else 2)))
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, said) in states.items():
                 for text, cost in readings:
