@@ -1,0 +1,2 @@
+"""The SQL fragment has no streaming statements. A streaming DataFrame registered in the catalog can be filtered, projected and joined with
+static tables like any other; its sink is the caller's."""
