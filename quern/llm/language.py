@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.ftrl import Ftrl, softmax, temperature
 
@@ -110,23 +111,31 @@ def train(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     return Model(languages, idf, w[:-1].astype(np.float32), 0.2 * w[-1], heat)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language and its calibrated probability."""
+def annotate(docs: DataFrame, model: Model, text_col: str, pred: str, score: str) -> DataFrame:
+    """All columns of docs, and the likeliest language and its calibrated probability as pred and score."""
+    place = docs.columns.index(text_col)
 
     def guessed(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(place).to_pylist()
             known = [i for i, t in enumerate(texts) if model.languages and lettered(t)]
-            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            lang, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             for s in range(0, len(known), 100):
                 part = known[s : s + 100]
                 p = softmax(model.logits(vectors([counts(texts[i]) for i in part], model.idf)).astype(np.float64) / model.temperature)
                 for i, row in zip(part, p, strict=True):
                     best = int(row.argmax())
-                    lang[i], score[i] = model.languages[best], min(1.0, float(row[best]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                    lang[i], sure[i] = model.languages[best], min(1.0, float(row[best]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, pred, score])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(guessed, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(guessed, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) for every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return annotate(rows, model, "text", "lang_pred", "score").drop("text")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -95,3 +95,22 @@ def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     spans = F.array_join(F.transform(F.array_sort(F.concat(*one)), lambda s: s["said"]), ",")
     out = findings.select("doc_id", *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in rules], spans.alias("spans"))
     return out.withColumn("base_sha256", F.sha2("spans", 256))
+
+
+def hits(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, hits) of the documents that have any: the spans of all kinds, sorted."""
+    every = F.array_sort(F.concat(*[F.coalesce(F.col(r.kind), F.array().cast("array<struct<start:bigint,stop:bigint>>")) for r in rules]))
+    return findings.select("doc_id", every.alias("hits")).where(F.size("hits") > 0)
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each run of overlapping spans replaced by a mark; unchanged where spans is null."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = s["start"] < acc["at"]
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
+    return F.when(spans.isNull(), text).otherwise(F.aggregate(spans, zero, step, rest))
