@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import bpe, exact_dedup, gif, language, packing, secrets, simhash, toxicity
+from quern.llm import bpe, exact_dedup, gif, language, packing, paragraphs, secrets, simhash, toxicity
 from quern.llm.common import documents, small_batches
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return paragraphs.duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 10_000)
     return exact_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"), lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_paragraphs": op9_paragraphs,
     "op10_exact_dedup": op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
