@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import bpe, exact_dedup, gif, language, packing, paragraphs, secrets, simhash, toxicity
+from quern.llm import bpe, exact_dedup, gif, language, packing, paragraphs, secrets, simhash, suffixes, toxicity
 from quern.llm.common import documents, small_batches
 
 
@@ -27,6 +27,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffixes.dedup(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
     return secrets.report(findings)
@@ -60,6 +65,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_suffixes": op2_suffixes,
     "op3_secrets": op3_secrets,
     "op4_language": op4_language,
     "op5_gif": op5_gif,
