@@ -119,7 +119,7 @@ def decided(rows: DataFrame) -> DataFrame:
             other = new & ~new_key & ~copy  # a key's second stretch or a later one
             at = np.flatnonzero(other)
             heads = np.flatnonzero(new_key)
-            head = heads[np.maximum(np.searchsorted(heads, at, "right") - 1, 0)] if len(heads) and len(at) else np.zeros(0, np.int64)
+            head = heads[np.maximum(np.searchsorted(heads, at, "right") - 1, 0)] if len(heads) else np.zeros(len(at), np.int64)
             inside = at >= heads[0] if len(heads) else np.zeros(len(at), bool)
             told = [d[removed], d[at], d[np.unique(head[inside])] if len(at) else d[:0]]
             packs = [p[removed], p[at], p[np.unique(head[inside])] if len(at) else p[:0]]
@@ -179,9 +179,8 @@ def _ranks(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, names
 
 
-def suffix_order(text: np.ndarray, most: int, covered: int = 1) -> np.ndarray:
-    """Start positions in the order of their suffixes, where ties within the first ``most`` bytes may stand in any order.
-    text: positive numbers; each stands for ``covered`` bytes."""
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Start positions in the order of their suffixes. text: positive numbers."""
     n = len(text)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
@@ -189,8 +188,8 @@ def suffix_order(text: np.ndarray, most: int, covered: int = 1) -> np.ndarray:
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # the sample: a difference cover of the residues modulo 3
     sample = np.concatenate([ones, twos])
     order, names = _ranks([t[sample], t[sample + 1], t[sample + 2]])
-    if names.max() < len(sample) and 3 * covered < most:  # recurse on names, unless they cover the prefix already
-        order = suffix_order(names, most, 3 * covered)
+    if names.max() < len(sample):
+        order = suffix_order(names)
         names = np.empty(len(sample), np.int64)
         names[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 4, np.int64)
@@ -226,7 +225,7 @@ def later(docs: np.ndarray, starts: np.ndarray, bodies: list[bytes]) -> tuple[np
     text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + 2
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     text[begin + sizes] = 1
-    order = suffix_order(text, LENGTH)
+    order = suffix_order(text)
     owner = np.repeat(np.arange(len(bodies)), sizes + 1)
     offset = np.arange(len(text)) - begin[owner]
     at = order[offset[order] + LENGTH <= sizes[owner[order]]]
