@@ -39,7 +39,7 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 SUBSTITUTED, SKIPPED, STRETCHED = -1.0, -1.5, -0.5
 _EDGES = re.compile(r"^[^\w@$!|+(€]+|[.,;:!?\"')\]}…]+$|([^\w\s])\1{2,}$")
 _DISGUISED = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|+(€][^\W\d_]{2}|[^\W\d_]{2}[\d@$|+€]$|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?![^\s.,;:!?])")
 
 
 def _letter(c: str) -> int:
@@ -144,7 +144,7 @@ class Restorer:
         return out
 
 
-_SPACED_JOINED = re.compile(r"\w(?:‍\w)+")
+_SPACED_JOINED = re.compile(r"\w(?:‍\w)+\W*")
 
 
 def entries(word: str) -> list[str]:
