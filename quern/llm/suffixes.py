@@ -1,7 +1,7 @@
 """Substring deduplication by suffix sorting: remove each byte covered by a 100-byte string that starts earlier too.
 
 A suffix sort of all positions at once would shuffle tens of times the input. Equal strings of 100 bytes hold the same content-defined anchor
-(the least hash of 32 bytes among them), so the sort is dealt out by anchors without losing a pair:
+(the least hash of 24 bytes among them), so the sort is dealt out by anchors without losing a pair:
 
 1. Every document's anchors are found; an anchor owns a run of starts, and its stretch is what their strings cover. Stretches with equal
    bytes are decided by a hash of key and stretch (128 bits): all but the first are removed.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
 #: Starts that one run of step 2 holds at most; the strings of a run share LENGTH - PART + 1 bytes.
 PART = 17
@@ -48,12 +48,15 @@ def _doubled(g: np.ndarray, size: int, level: int) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, ...]:
-    """(key, stretch, first, last, place): for each anchor the hash of its 32 bytes, that of its stretch, the first and last start that it
+    """(key, stretch, first, last, place): for each anchor the hash of its 24 bytes, that of its stretch, the first and last start that it
     owns, and its place. Every start of a 100-byte string is owned by one anchor, chosen by the string's bytes alone."""
     g = _BYTE[np.frombuffer(data, np.uint8)]
-    for level in range(5):
+    for level in range(3):
         g = _doubled(g, 1 << level, level)
-    key = _mix(g)
+    eight = g
+    g = _doubled(g, 8, 3)
+    key = _mix(g[: len(g) - 8] * _FACTORS[4] + eight[16:])
+    g = _doubled(g, 16, 4)
     least = (key & U(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=U)
     for size in (1, 2, 4, 8, 16, 32):
         least = np.minimum(least[:-size], least[size:])
@@ -78,7 +81,9 @@ def dealt(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
         key, stretch, doc, pack = key[order], stretch[order], doc[order], pack[order]
         again = np.concatenate([[False], (key[1:] == key[:-1]) & (stretch[1:] == stretch[:-1])])
         pack[again] |= 1
-        key[again] = _mix(doc[again].astype(U) * U(31) + pack[again].astype(U))
+        key[again], stretch[again] = _mix(doc[again].astype(U)), 0
+        order = np.lexsort((pack, doc))  # in the order of documents rows compress better
+        key, stretch, doc, pack = key[order], stretch[order], doc[order], pack[order]
         for s in range(0, len(key), 100_000):
             e = s + 100_000
             yield pa.RecordBatch.from_arrays([pa.array(key[s:e].view(np.int64)), pa.array(stretch[s:e].view(np.int64)), pa.array(doc[s:e]), pa.array(pack[s:e])], ["key", "stretch", "doc_id", "packed"])
