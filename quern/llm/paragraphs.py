@@ -5,6 +5,10 @@ one class at once; classes are banded by 64 minima over shingles of five words,
 probability over 0.9998. Classes that collide in a band are compared by the exact Jaccard similarity of their shingle sets, links of 0.8 or
 more are closed to components, and of each component the first paragraph (by document, then by place) stays.
 
+A passage may also hide inside longer paragraphs. So each text is cut, without regard to lines, after words whose hash is least among eleven,
+which depends on the words around alone; equal segments of PIECE words or more between two cuts form classes at once, and neighbouring ones of a document
+join to passages, which count from RUN words on where their lines aren't duplicates already.
+
 Defined results: null and empty texts have no paragraph; shorter lines are never removed; texts of any length count whole; repeats inside
 one document count like those across documents; an empty table gives an empty result; ids are unique.
 """
@@ -14,12 +18,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, join_skewed, materialize
 
 LEAST = 25
+#: Words on each side of a cut that decide it; words of a segment and of a passage at least.
+AROUND, PIECE, RUN = 5, 7, 16
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 16, 4, 0.8
 _RNG = np.random.default_rng(9)
 _FACTORS = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,6 +81,78 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keys
 
 
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def word_starts(text: str) -> np.ndarray:
+    """Offsets of the words of text.split(), in code points, and the text's length behind them."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _SPACE[np.minimum(c, 0x3001)]
+    return np.append(np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])), len(c))
+
+
+_POWERS = np.cumprod(np.full(1 << 12, _FACTORS[0]))
+
+
+def segments(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, digest) of the segments between cuts, as word numbers, the last one exclusive."""
+    none = np.zeros(0, np.int64)
+    if len(words) < 2 * AROUND:
+        return none, none, none
+    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = _mix(w[:-1] * _FACTORS[1] + w[1:])
+    top = np.full(AROUND, np.iinfo(np.uint64).max)
+    wide = np.concatenate([top, h, top])
+    before = np.minimum.reduce([wide[k : k + len(h)] for k in range(AROUND)])
+    after = np.minimum.reduce([wide[AROUND + 1 + k : AROUND + 1 + k + len(h)] for k in range(AROUND)])
+    cuts = np.flatnonzero((h < before) & (h <= after)) + 1
+    cuts = cuts[(cuts > AROUND) & (cuts < len(words) - AROUND)]
+    if len(cuts) < 2:
+        return none, none, none
+    inside = w[cuts[0] : cuts[-1]]
+    starts = cuts[:-1] - cuts[0]
+    place = np.arange(len(inside)) - np.repeat(starts, np.diff(cuts))
+    digest = _mix(np.add.reduceat(_mix(inside) * _POWERS[place & 0xFFF], starts)).view(np.int64)
+    keep = np.diff(cuts) >= PIECE
+    return cuts[:-1][keep], cuts[1:][keep], digest[keep]
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line, first, n_words, start, stop, class): every segment, with its line, words and code points."""
+
+    def found(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first, last, digest = segments(t.lower().split())
+                if not len(first):
+                    continue
+                at = word_starts(t)
+                breaks = np.flatnonzero(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+                for column, x in zip(out, (np.full(len(first), i), np.searchsorted(breaks, at[first]), first, last - first, at[first], at[last], digest), strict=True):
+                    column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["doc_id", "line", "first", "n_words", "start", "stop", "class"])
+
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return whole.mapInArrow(found, "doc_id long, line long, first long, n_words long, start long, stop long, class long")
+
+
+def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Passages that repeat, outside the duplicate lines given as (doc_id, line): same columns as ``duplicates``."""
+    rows = materialize(pieces(docs, id_col, text_col), "pieces")
+    classes = rows.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("stays")).where("n > 1")
+    repeated = join_skewed(rows, materialize(classes, "piece-classes"), "class", "n", rows.count()).join(lines.select("doc_id", "line"), ["doc_id", "line"], "left_anti")
+    by_doc = Window.partitionBy("doc_id").orderBy("first")
+    marked = repeated.withColumn("new", (F.coalesce(F.lag(F.col("first") + F.col("n_words")).over(by_doc), F.lit(-1)) != F.col("first")).cast("int"))
+    marked = marked.withColumn("run", F.sum("new").over(by_doc)).withColumn("removed", (F.col("doc_id") != F.col("stays.doc_id")) | (F.col("first") != F.col("stays.first")))
+    runs = marked.groupBy("doc_id", "run").agg(
+        F.min("line").alias("line"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("length"), F.sum("n_words").alias("n_words"),
+        F.min("stays.doc_id").alias("class_doc_id"), F.lit(None).cast("long").alias("class_line"), F.max("n").alias("class_size"), F.max("removed").alias("removed"),
+    )
+    return runs.where(F.col("n_words") >= RUN).drop("run")
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(doc_id, line, start, length, n_words, class, bands): every paragraph, its words' digest and its band keys."""
 
@@ -168,7 +246,8 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Every paragraph that has a duplicate, with its class: doc_id, line, start, length (code points), n_words, class_doc_id and class_line (the
-    paragraph that stays), class_size (paragraphs in the class), removed."""
+    paragraph that stays), class_size (paragraphs in the class), removed, and kind (line). Then the passages that repeat inside other
+    paragraphs, as kind passage: their class_doc_id is the first document that has a part of them, their class_line null."""
     rows = materialize(occurrences(docs, id_col, text_col, least), "paragraphs")
     first = F.min(F.struct("doc_id", "line")).alias("first")
     classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first, F.min_by("bands", "doc_id").alias("bands")), "classes")
@@ -178,15 +257,18 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = named.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("first").alias("stays")).where("class_size > 1")
     members = materialize(named.join(whole, "component").select("class", "n", "class_size", "stays"), "members")
     out = join_skewed(rows.drop("bands"), members, "class", "n", rows.count())
-    return out.select(
+    lines = out.select(
         "doc_id", "line", "start", "length", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"), "class_size",
         ((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line"))).alias("removed"),
     )
+    lines = materialize(lines, "lines")
+    found = passages(docs, lines, id_col, text_col)
+    return lines.withColumn("kind", F.lit("line")).unionByName(found.withColumn("kind", F.lit("passage")))
 
 
 def removed_text(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): the texts without their removed paragraphs."""
-    gone = found.where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    """(doc_id, text): the texts without their removed lines."""
+    gone = found.where("removed and kind = 'line'").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone.hint("merge"), "doc_id", "left")
     lines = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.coalesce(F.array_contains(F.col("gone"), i.cast("long")), F.lit(False)))
     return whole.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("text"))

@@ -114,12 +114,30 @@ def test_paragraphs(spark, docs, empty):
     rows = [(1, prose(21, 40) + "\n" + " ".join(base)), (2, " ".join(near) + "\n" + prose(22, 40)), (3, "short line\n" * 5), (4, "short line"), (5, " ".join(base).upper()), (6, None), (7, prose(23, 5000)), (8, " ".join(base) + "\nx\n" + " ".join(base))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = paragraphs.duplicates(df)
-    got = {(r["doc_id"], r["line"]): (r["class_doc_id"], r["class_line"], r["class_size"], r["removed"]) for r in found.collect()}
+    got = {(r["doc_id"], r["line"]): (r["class_doc_id"], r["class_line"], r["class_size"], r["removed"]) for r in found.where("kind = 'line'").collect()}
     assert got == {(1, 1): (1, 1, 5, False), (2, 0): (1, 1, 5, True), (5, 0): (1, 1, 5, True), (8, 0): (1, 1, 5, True), (8, 2): (1, 1, 5, True)}
     left = by_id(paragraphs.removed_text(df, found), "text")
     assert left[2] == rows[1][1].split("\n")[1] and left[8] == "x" and left[6] is None and left[3] == rows[2][1]
     assert paragraphs.duplicates(empty).count() == 0
-    assert {r["doc_id"] for r in paragraphs.duplicates(docs).where("removed").collect()} == {15, 16, 18, 24}
+    assert {r["doc_id"] for r in paragraphs.duplicates(docs).where("removed and kind = 'line'").collect()} == {15, 16, 18, 24}
+
+
+def test_hidden_passages(spark):
+    """Excerpts of 50 words and more, put in the midst of other lines."""
+    sources = {i: prose(500 + i, 300) for i in range(40)}
+    hosts = {}
+    for i in range(40):
+        words, host = sources[i].split(), prose(900 + i, 200).split()
+        at, k = 20 + 3 * i, 51 + i % 20
+        hosts[100 + i] = " ".join([*host[:77], *words[at : at + k], *host[77:]])
+    clean = {200 + i: prose(1300 + i, 250) for i in range(40)}
+    df = spark.createDataFrame([*sources.items(), *hosts.items(), *clean.items()], "doc_id long, text string")
+    found = paragraphs.duplicates(df).where("kind = 'passage'").collect()
+    caught = {(r["doc_id"], r["class_doc_id"]) for r in found if r["removed"]}
+    assert len(caught & {(100 + i, i) for i in range(40)}) >= 38 and not [r for r in found if r["doc_id"] >= 200]
+    for r in found:
+        text = (sources | hosts)[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(text.split()) == r["n_words"]
 
 
 def test_exact_jaccard():
