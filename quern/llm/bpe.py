@@ -29,8 +29,11 @@ VOCABULARY = "word_bpe_49k.json"
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Words in which every character is its own NFC form and lowers by itself.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Blanks at which words are told apart; any rarer white space stays inside a word, where the library deals with it.
-_BLANKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
+
+
+def _blanked(text: str) -> str:
+    """With the blanks at which words are told apart as spaces; any rarer white space stays inside a word, where the library deals with it."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
 
 def vocabulary_path() -> str:
@@ -96,11 +99,7 @@ class Words(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, or of a part between blanks."""
-        if text.isascii():
-            text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        else:
-            text = text.translate(_BLANKS)
-        return b"".join([self[w] for w in text.split(" ")])
+        return b"".join(map(self.__getitem__, _blanked(text).split(" ")))
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids in UTF-8; this vocabulary has no decoder, so tokens are joined by blanks."""
@@ -136,7 +135,7 @@ class Chunks(dict):
 
     def __missing__(self, chunk: bytes):
         self.encoded += 1
-        head, blank, rest = chunk.decode().translate(_BLANKS).partition(" ")
+        head, blank, rest = _blanked(chunk.decode()).partition(" ")
         if not blank:
             out = (head,)
         else:
