@@ -183,8 +183,7 @@ class Session:
             new = df.select(*[scalar.cast(F.col(f"in{i}"), e.type, k).alias(c) for i, ((e, _), (c, k)) in enumerate(zip(block.items, t.types.items(), strict=True))])
         if t.key is not None:
             self._unique(t, new)
-        self.catalog.append(t, new)
-        return Response(f"INSERT {new.count()}")
+        return Response(f"INSERT {self.catalog.append(t, new)}")
 
     def _row(self, t: Table, i: int, row: list) -> tuple:
         if len(row) != len(t.types):

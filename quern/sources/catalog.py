@@ -73,8 +73,12 @@ class Catalog:
         (df.sortWithinPartitions(table.key) if table.key else df).write.parquet(path)
         return self.spark.read.schema(schema_of(table.types)).parquet(path)
 
-    def append(self, table: Table, rows: DataFrame) -> None:
-        self.put(replace(table, df=table.df.unionByName(self.kept(table, rows))))
+    def append(self, table: Table, rows: DataFrame) -> int:
+        """Add rows and return how many. Every column is computed once here, so that what can't be computed fails now."""
+        stored = self.kept(table, rows)
+        n = stored.count() if self.store else stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*[F.col(f"`{c}`") for c in table.types]))).first()["n"]
+        self.put(replace(table, df=table.df.unionByName(stored)))
+        return n
 
     def rewrite(self, table: Table, df: DataFrame) -> None:
         self.put(replace(table, df=self.kept(table, df)))
