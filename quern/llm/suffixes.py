@@ -248,32 +248,44 @@ def later(docs: np.ndarray, starts: np.ndarray, bodies: list[bytes]) -> tuple[np
 
 
 def sorted_out(parts: DataFrame, most: int = 3_000_000) -> DataFrame:
-    """parts: (core, doc_id, start, body), of cores that occur more than once. Returns (doc_id, packed) of removed starts."""
+    """parts: (core, doc_id, start, body), of cores that occur more than once. Returns (doc_id, packed) of removed runs of starts. Of runs
+    with equal bytes all but the first are removed as they pass; a core with several different runs goes to the suffix sort."""
 
     def out(batches):
+        gone: list[tuple[int, int]] = []  # removed runs of starts
+        mine: list[tuple[int, int, bytes]] = []  # the different runs of the core at hand
         docs, starts, bodies, held, last = [], [], [], 0, None
 
-        def done():
-            if len(bodies) < 2:
-                return None
-            d, p = later(np.array(docs), np.array(starts), bodies)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p << 24, pa.int64())], ["doc_id", "packed"])
+        def told(d, p):
+            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int64())], ["doc_id", "packed"])
 
         for b in batches:
             for core, d, s, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if core != last and held >= most:  # a core's runs stay together
-                    if (found := done()) is not None:
-                        yield found
-                    docs, starts, bodies, held = [], [], [], 0
-                last = core
-                docs.append(d)
-                starts.append(s)
-                bodies.append(body)
-                held += len(body) + 1
-        if (found := done()) is not None:
-            yield found
-
-    return parts.repartition("core").sortWithinPartitions("core", "doc_id", "start").mapInArrow(out, "doc_id long, packed long")
+                if core != last:
+                    if len(mine) > 1:  # a core's runs stay together
+                        for column, x in zip((docs, starts, bodies), zip(*mine, strict=True), strict=True):
+                            column += x
+                        held += sum(len(x[2]) + 1 for x in mine)
+                    if held >= most:
+                        found, places = later(np.array(docs), np.array(starts), bodies)
+                        yield told(found, places << 24)
+                        docs, starts, bodies, held = [], [], [], 0
+                    mine, last = [], core
+                if mine and mine[-1][2] == body:
+                    gone.append((d, s << 24 | (len(body) - LENGTH) << 16))
+                else:
+                    mine.append((d, s, body))
+            if gone:
+                yield told(*zip(*gone, strict=True))
+                gone = []
+        if len(mine) > 1:
+            for column, x in zip((docs, starts, bodies), zip(*mine, strict=True), strict=True):
+                column += x
+        if bodies:
+            found, places = later(np.array(docs), np.array(starts), bodies)
+            yield told(found, places << 24)
+
+    return parts.repartition("core").sortWithinPartitions("core", "body", "doc_id", "start").mapInArrow(out, "doc_id long, packed long")
 
 
 def spans(packs: np.ndarray) -> list[tuple[int, int]]:
