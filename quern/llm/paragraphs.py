@@ -1,15 +1,18 @@
 """Substring deduplication by paragraphs: MinHash banding, exact Jaccard checks, removal by connected components.
 
-A paragraph is a line; its words are lower-cased and split at white space. Paragraphs of LEAST words or more count. Equal paragraphs form
+Lines are compared with lines, and paragraphs, which are the lines between two blank ones as one text, with paragraphs, so that line breaks
+within them don't matter. Words are lower-cased and split at white space; lines and paragraphs of LEAST words (one shingle) or more count. Equal ones form
 one class at once; classes are banded by 64 minima over shingles of five words, 16 bands of 4, which finds a pair of similarity 0.8 with a
-probability over 0.9998. Classes that collide in a band are compared by the exact Jaccard similarity of their shingle sets, links of 0.8 or
-more are closed to components, and of each component the first paragraph (by document, then by place) stays.
+probability over 0.9998. Classes that collide in a band are compared by the exact Jaccard similarity of their shingle sets (those of paragraphs
+count repeats), links of 0.8 or more are closed to components, and of each component the first member (by document, then by place) stays. Paragraphs
+are decided first; components of paragraphs of a single line each are left to the lines. Of a component of lines the first one outside
+removed paragraphs stays, if there is one.
 
 A passage may also hide inside longer paragraphs. So each text is cut, without regard to lines, after words whose hash is least among eleven,
 which depends on the words around alone; equal segments of PIECE words or more between two cuts form classes at once, and neighbouring ones of a document
 join to passages, which count from RUN words on where their lines aren't duplicates already.
 
-Defined results: null and empty texts have no paragraph; shorter lines are never removed; texts of any length count whole; repeats inside
+Defined results: null and empty texts have no paragraph; shorter lines are removed only with their paragraph; texts of any length count whole; repeats inside
 one document count like those across documents; an empty table gives an empty result; ids are unique.
 """
 
@@ -23,12 +26,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import components, join_skewed, materialize
 
-LEAST = 25
+LEAST = 5
 #: Words on each side of a cut that decide it; words of a segment and of a passage at least.
 AROUND, PIECE, RUN = 5, 7, 16
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 16, 4, 0.8
 _RNG = np.random.default_rng(9)
 _FACTORS = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Sets classes and band keys of paragraphs apart from those of lines.
+_PARAGRAPH = np.uint64(0x5851F42D4C957F2D)
 _TURNS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,6 +60,24 @@ def paragraphs(text: str, least: int = LEAST) -> list[tuple[int, int, int, list[
     return out
 
 
+def blocks(text: str, least: int = LEAST) -> list[tuple[int, int, int, int, list[str], list[tuple[int, int, int, int, int]]]]:
+    """(line, lines, start, length, words, parts) of what stands between blank lines and has so many words; parts has (line, start,
+    length, first word, words) of each of its lines that has so many."""
+    out, at, held, words, parts = [], 0, [], [], []
+    for i, line in enumerate([*text.split("\n"), ""]):
+        if mine := line.lower().split():
+            if len(mine) >= least:
+                parts.append((i, at, len(line), len(words), len(mine)))
+            held.append((i, at, len(line)))
+            words += mine
+        elif held:
+            if len(words) >= least:
+                out.append((held[0][0], len(held), held[0][1], held[-1][1] + held[-1][2] - held[0][1], words, parts))
+            held, words, parts = [], [], []
+        at += len(line) + 1
+    return out
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -71,14 +94,36 @@ def shingles(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h[left >= SHINGLE]), sizes - SHINGLE + 1
 
 
-def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each list its 16 keys: equal in a band only if four minima agree."""
-    starts = np.cumsum(counts) - counts
-    keys = np.zeros((BANDS, len(counts)), np.uint64)
+def band_keys(hashes: np.ndarray, sizes: np.ndarray, parts: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """16 keys of each part, and of each list: equal in a band only if four minima agree. sizes: shingles of each list; parts: (first, shingles) of those of each list, in order."""
+    starts, part_at, list_at, base = [], [], [], 0
+    for size, mine in zip(sizes.tolist(), parts, strict=True):
+        list_at.append(len(starts))
+        done = 0
+        for first, n in mine:
+            if first > done:
+                starts.append(base + done)
+            part_at.append(len(starts))
+            starts.append(base + first)
+            done = first + n
+        if done < size:
+            starts.append(base + done)
+        base += size
+    cuts, at, wholes = np.array(starts), np.array(part_at, np.int64), np.array(list_at)
+    of_parts, of_lists = np.zeros((BANDS, len(at)), np.uint64), np.zeros((BANDS, len(wholes)), np.uint64)
     for k, turn in enumerate(_TURNS):
-        least = np.minimum.reduceat(_mix(hashes * turn), starts)
-        keys[k // ROWS] = _mix(keys[k // ROWS] + least)
-    return keys
+        least = np.minimum.reduceat(_mix(hashes * turn), cuts)
+        of_parts[k // ROWS] = _mix(of_parts[k // ROWS] + least[at])
+        of_lists[k // ROWS] = _mix(of_lists[k // ROWS] + np.minimum.reduceat(least, wholes))
+    return of_parts, of_lists ^ _PARAGRAPH
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """A set in which the second of equal hashes differs from the first, and so on."""
+    x = np.sort(hashes)
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    again = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.unique(np.where(again > 0, _mix(x + again.astype(np.uint64) * _FACTORS[2]), x))
 
 
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
@@ -154,25 +199,31 @@ def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> D
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(doc_id, line, start, length, n_words, class, bands): every paragraph, its words' digest and its band keys."""
+    """(doc_id, line, lines, start, length, n_words, level, class, bands): every line (level 0) and paragraph (1), its words' digest and its band keys."""
+
+    def digest(words: list[str]) -> int:
+        return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
 
     def found(batches):
         for b in batches:
-            rows, lists = [], []
+            parts, wholes, lists, within = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for line, start, length, words in paragraphs(t, least):
-                    rows.append((i, line, start, length, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))))
+                for line, lines, start, length, words, inner in blocks(t, least):
+                    wholes.append((i, line, lines, start, length, len(words), 1, digest(words) ^ int(_PARAGRAPH)))
+                    parts += [(i, k, 1, at, size, n, 0, digest(words[first : first + n])) for k, at, size, first, n in inner]
                     lists.append(words)
-            if not rows:
+                    within.append([(first, n - SHINGLE + 1) for _, _, _, first, n in inner])
+            if not wholes:
                 continue
-            keys = band_keys(*shingles(lists)).view(np.int64).T
-            columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:5]]
-            columns.append(pa.array(np.array([r[5] for r in rows], np.uint64).view(np.int64)))
+            keys = np.concatenate(band_keys(*shingles(lists), within), 1).view(np.int64).T
+            every = list(zip(*(parts + wholes), strict=True))
+            columns = [pa.array(c, pa.int64()) for c in every[:7]]
+            columns.append(pa.array(np.array(every[7], np.uint64).view(np.int64)))
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "start", "length", "n_words", "class", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "lines", "start", "length", "n_words", "level", "class", "bands"])
 
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return whole.mapInArrow(found, "doc_id long, line long, start long, length long, n_words long, class long, bands array<long>")
+    return whole.mapInArrow(found, "doc_id long, line long, lines long, start long, length long, n_words long, level long, class long, bands array<long>")
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
@@ -196,26 +247,32 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) ->
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """classes: (class, doc_id, line, bands), one row per distinct paragraph, with the place of one. Returns edges (a, b)."""
-    keys = classes.select("class", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1").select("band", "key")
-    buckets = materialize(keys.join(shared, ["band", "key"]), "buckets")
-    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "class")).alias("wanted"))
+    """classes: (class, level, lines, doc_id, line, bands), one row per distinct line or paragraph, with the place of one. Returns edges (a, b)."""
+    keys = classes.select("class", ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"), F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.max("counts").alias("counts")).where("n > 1 and counts").select("band", "key")
+    colliding = materialize(keys.drop("counts").join(shared, ["band", "key"]), "colliding")
+    # of buckets with the same members one is compared
+    same = [F.count("*"), F.min("class"), F.max("class"), F.bit_xor(F.xxhash64("class")), F.bit_xor(F.xxhash64("class", F.lit(1)))]
+    once = colliding.groupBy("band", "key").agg(*[c.alias(f"same{k}") for k, c in enumerate(same)]).groupBy(*[f"same{k}" for k in range(len(same))]).agg(F.min(F.struct("band", "key")).alias("at"))
+    buckets = materialize(colliding.join(once.select("at.band", "at.key"), ["band", "key"]), "buckets")
+    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "level", "class")).alias("wanted"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "doc_id").select("text", "wanted")
 
     def sets_of(batches):
         for b in batches:
-            ids, lists = [], []
+            ids, lists, levels = [], [], []
             for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by_line = {x["line"]: x["class"] for x in w}
-                for line, _, _, words in paragraphs(t, least):
-                    if line in by_line:
-                        ids.append(by_line[line])
+                by_place = {(x["level"], x["line"]): x["class"] for x in w}
+                found = [(0, x[0], x[3]) for x in paragraphs(t, least)] + [(1, x[0], x[4]) for x in blocks(t, least)]
+                for level, line, words in found:
+                    if (level, line) in by_place:
+                        ids.append(by_place[level, line])
                         lists.append(words)
+                        levels.append(level)
             if not ids:
                 continue
             hashes, counts = shingles(lists)
-            sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            sets = [(numbered(x) if level else np.unique(x)).tobytes() for x, level in zip(np.split(hashes, np.cumsum(counts)[:-1]), levels, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["class", "grams"])
 
     grams = materialize(texts.mapInArrow(sets_of, "class long, grams binary"), "grams")
@@ -245,30 +302,66 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """Every paragraph that has a duplicate, with its class: doc_id, line, start, length (code points), n_words, class_doc_id and class_line (the
-    paragraph that stays), class_size (paragraphs in the class), removed, and kind (line). Then the passages that repeat inside other
+    """Every line and paragraph that has a duplicate, with its class: doc_id, line (the first one), start, length (code points), n_words, class_doc_id and
+    class_line (those of the one that stays), class_size (members of the class), removed, and kind (line or paragraph). Then the passages that repeat inside other
     paragraphs, as kind passage: their class_doc_id is the first document that has a part of them, their class_line null."""
     rows = materialize(occurrences(docs, id_col, text_col, least), "paragraphs")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first, F.min_by("bands", "doc_id").alias("bands")), "classes")
-    edges = links(docs, classes.select("class", "first.doc_id", "first.line", "bands"), id_col, text_col, least)
+    classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first, F.max("level").alias("level"), F.max("lines").alias("lines"), F.min_by("bands", F.struct("doc_id", "line")).alias("bands")), "classes")
+    edges = links(docs, classes.select("class", "level", "lines", "first.doc_id", "first.line", "bands"), id_col, text_col, least)
     joined = components(edges).withColumnRenamed("node", "class")
-    named = materialize(classes.select("class", "n", "first").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
+    named = materialize(classes.drop("bands").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
     whole = named.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("first").alias("stays")).where("class_size > 1")
-    members = materialize(named.join(whole, "component").select("class", "n", "class_size", "stays"), "members")
-    out = join_skewed(rows.drop("bands"), members, "class", "n", rows.count())
-    lines = out.select(
-        "doc_id", "line", "start", "length", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"), "class_size",
-        ((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line"))).alias("removed"),
-    )
-    lines = materialize(lines, "lines")
+    several = named.groupBy("component").agg(F.max(F.greatest("lines", 2 - F.col("level"))).alias("lines")).where("lines > 1").select("component")
+    members = materialize(named.join(whole, "component").join(several, "component", "left_semi").select("class", "n", "component", "class_size", "stays"), "members")
+    out = materialize(join_skewed(rows.drop("bands"), members, "class", "n", rows.count()), "out")
+    place = F.struct("doc_id", "line")
+    whole_ones = out.where("level = 1").withColumn("removed", place != F.col("stays")).withColumn("kind", F.lit("paragraph"))
+    gone = whole_ones.where("removed").select("doc_id", F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("line"), F.lit(True).alias("gone"))
+    single = materialize(out.where("level = 0").drop("stays").join(gone, ["doc_id", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "single")
+    stays = single.groupBy("component").agg(F.coalesce(F.min(F.when(~F.col("gone"), place)), F.min(place)).alias("stays"), F.count("*").alias("m"))
+    single = join_skewed(single, materialize(stays, "stays"), "component", "m", single.count())
+    single = single.withColumn("removed", F.col("gone") | (place != F.col("stays"))).withColumn("kind", F.lit("line"))
+    columns = ["doc_id", "line", "start", "length", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"), "class_size", "removed", "kind"]
+    lines = materialize(single.select(*columns).unionByName(whole_ones.select(*columns)), "lines")
     found = passages(docs, lines, id_col, text_col)
-    return lines.withColumn("kind", F.lit("line")).unionByName(found.withColumn("kind", F.lit("passage")))
+    return lines.unionByName(found.withColumn("kind", F.lit("passage")))
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its spans (start, stop), and without the lines that they leave blank."""
+    joined: list[list[int]] = []
+    for start, stop in sorted(spans):
+        if joined and start <= joined[-1][1]:
+            joined[-1][1] = max(stop, joined[-1][1])
+        else:
+            joined.append([start, stop])
+    out, at, k = [], 0, 0
+    for line in text.split("\n"):
+        end, done, left, j = at + len(line), at, [], k
+        while j < len(joined) and joined[j][0] < max(end, at + 1):
+            left.append(text[done : max(done, joined[j][0])])
+            done = min(joined[j][1], end)
+            while done < end and text[done].isspace():
+                done += 1
+            j += 1
+        rest = "".join(left) + text[done:end]
+        if j == k or rest.strip():
+            out.append(rest)
+        at = end + 1
+        while k < len(joined) and joined[k][1] <= at:
+            k += 1
+    return "\n".join(out)
 
 
 def removed_text(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): the texts without their removed lines."""
-    gone = found.where("removed and kind = 'line'").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone.hint("merge"), "doc_id", "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.coalesce(F.array_contains(F.col("gone"), i.cast("long")), F.lit(False)))
-    return whole.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("text"))
+    """(doc_id, text): the texts without their removed lines and paragraphs."""
+    gone = found.where("removed and kind <> 'passage'").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("gone"))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone")
+
+    def cut(batches):
+        for b in batches:
+            texts = [without(t, [(x["start"], x["stop"]) for x in g]) if g and t is not None else t for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return whole.mapInArrow(cut, whole.select("doc_id", "text").schema)

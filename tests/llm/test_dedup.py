@@ -122,6 +122,20 @@ def test_paragraphs(spark, docs, empty):
     assert {r["doc_id"] for r in paragraphs.duplicates(docs).where("removed and kind = 'line'").collect()} == {15, 16, 18, 24}
 
 
+def test_short_lines_and_wrapped_paragraphs(spark):
+    short, near = "All rights are reserved by us", prose(71, 24).split()
+    base = prose(72, 120).split()
+    wrapped = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    changed = [*base[:60], "changed", *base[61:]]
+    rows = [(1, f"{prose(73, 30)}\n{short}\n{' '.join(near)}"), (2, f"{short.upper()}\n{prose(74, 30)}\n{' '.join([*near[:23], 'changed'])}"), (3, f"{wrapped(base, 11)}\n\n{prose(75, 30)}"), (4, f"{prose(76, 30)}\n \n{wrapped(changed, 7)}"), (5, f"{prose(77, 30)}\n\n{' '.join(base)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paragraphs.duplicates(df)
+    got = {(r["doc_id"], r["line"], r["kind"]): (r["class_doc_id"], r["class_line"], r["removed"]) for r in found.where("kind <> 'passage'").collect()}
+    assert got == {(1, 1, "line"): (1, 1, False), (2, 0, "line"): (1, 1, True), (1, 2, "line"): (1, 2, False), (2, 2, "line"): (1, 2, True), (3, 0, "paragraph"): (3, 0, False), (4, 2, "paragraph"): (3, 0, True), (5, 2, "paragraph"): (3, 0, True)}
+    left = by_id(paragraphs.removed_text(df, found), "text")
+    assert left[1] == rows[0][1] and left[3] == rows[2][1] and left[2] == prose(74, 30) and left[4].strip() == prose(76, 30) and left[5].strip() == prose(77, 30)
+
+
 def test_hidden_passages(spark):
     """Excerpts of 50 words and more, put in the midst of other lines."""
     sources = {i: prose(500 + i, 300) for i in range(40)}
