@@ -8,9 +8,10 @@ count repeats), links of 0.8 or more are closed to components, and of each compo
 are decided first; components of paragraphs of a single line each are left to the lines. Of a component of lines the first one outside
 removed paragraphs stays, if there is one.
 
-A passage may also hide inside longer paragraphs. So each text is cut, without regard to lines, after words whose hash is least among eleven,
-which depends on the words around alone; equal segments of PIECE words or more between two cuts form classes at once, and neighbouring ones of a document
-join to passages, which count from RUN words on where their lines aren't duplicates already.
+A passage may also hide inside longer paragraphs. So of each text, without regard to lines, the least hash of SEED words among any RUN - SEED + 1 in a row
+is a seed: equal passages of RUN words or more share one. Around seeds that repeat every window of RUN words is compared, by a 128-bit digest
+of its words; windows don't touch lines that are removed already. The first of equal windows stays, and the words
+of the others are removed, so a passage reaches exactly as far as its copies agree.
 
 Defined results: null and empty texts have no paragraph; shorter lines are removed only with their paragraph; texts of any length count whole; repeats inside
 one document count like those across documents; an empty table gives an empty result; ids are unique.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import components, join_skewed, materialize
 
 LEAST = 5
-#: Words on each side of a cut that decide it; words of a segment and of a passage at least.
-AROUND, PIECE, RUN = 5, 7, 16
+#: Words of a seed, and of a passage at least.
+SEED, RUN = 6, 16
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 16, 4, 0.8
 _RNG = np.random.default_rng(9)
 _FACTORS = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,66 +137,123 @@ def word_starts(text: str) -> np.ndarray:
     return np.append(np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])), len(c))
 
 
-_POWERS = np.cumprod(np.full(1 << 12, _FACTORS[0]))
-
-
-def segments(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, digest) of the segments between cuts, as word numbers, the last one exclusive."""
-    none = np.zeros(0, np.int64)
-    if len(words) < 2 * AROUND:
-        return none, none, none
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    h = _mix(w[:-1] * _FACTORS[1] + w[1:])
-    top = np.full(AROUND, np.iinfo(np.uint64).max)
-    wide = np.concatenate([top, h, top])
-    before = np.minimum.reduce([wide[k : k + len(h)] for k in range(AROUND)])
-    after = np.minimum.reduce([wide[AROUND + 1 + k : AROUND + 1 + k + len(h)] for k in range(AROUND)])
-    cuts = np.flatnonzero((h < before) & (h <= after)) + 1
-    cuts = cuts[(cuts > AROUND) & (cuts < len(words) - AROUND)]
-    if len(cuts) < 2:
-        return none, none, none
-    inside = w[cuts[0] : cuts[-1]]
-    starts = cuts[:-1] - cuts[0]
-    place = np.arange(len(inside)) - np.repeat(starts, np.diff(cuts))
-    digest = _mix(np.add.reduceat(_mix(inside) * _POWERS[place & 0xFFF], starts)).view(np.int64)
-    keep = np.diff(cuts) >= PIECE
-    return cuts[:-1][keep], cuts[1:][keep], digest[keep]
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+#: Factors of a seed's hash, and of the two halves of a window's digest.
+_FOR_SEEDS, _FOR_WINDOWS = _RNG.integers(1, 1 << 63, SEED, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RNG.integers(1, 1 << 63, (2, RUN), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _grams(w: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Hash of each so many words in a row as there are factors."""
+    n = len(factors)
+    w = _mix(w + factors[0])
+    return _mix(sum((w[k : len(w) - n + 1 + k] * factors[k] for k in range(1, n)), w[: len(w) - n + 1] * factors[0]))
+
+
+def seeds(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the seeds: any RUN words in a row have one, which depends on these words alone."""
+    if len(words) < RUN:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = _grams(_hashed(words), _FOR_SEEDS)
+    least = np.lib.stride_tricks.sliding_window_view(h, RUN - SEED + 1)
+    at = np.unique(np.arange(len(least)) + least.argmin(1))
+    return at, h[at]
+
+
+def _line_of(text: str, at: np.ndarray) -> np.ndarray:
+    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+    return np.searchsorted(breaks, at)
+
+
+def windows(text: str, wanted: list[int], gone: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, 16-byte digest) of all RUN words in a row around wanted seeds that have no word in the lines gone."""
+    words = text.lower().split()
+    free = ~np.isin(_line_of(text, word_starts(text)[:-1]), gone)
+    count = np.concatenate([[0], np.cumsum(free)])
+    change = np.zeros(len(words) + 1, np.int64)
+    at = np.array(wanted)
+    np.add.at(change, np.maximum(at - (RUN - SEED), 0), 1)
+    np.add.at(change, at + 1, -1)
+    near = np.cumsum(change)[: len(words) - RUN + 1] > 0
+    first = np.flatnonzero(near & (count[RUN:] - count[:-RUN] == RUN))
+    w = _hashed(words)
+    return first, np.stack([_grams(w, factors)[first] for factors in _FOR_WINDOWS], 1)
+
+
+def runs(doc: int, text: str, found: list[dict]) -> list[tuple]:
+    """Rows of duplicates: a text's repeated windows (at, n, first_doc, first_at) joined to passages that are removed or stay."""
+    at, n, first_doc, first_at = (np.array([x[c] for x in found]) for c in ("at", "n", "first_doc", "first_at"))
+    stays = (first_doc == doc) & (first_at == at)
+    # a window that overlaps its own first copy takes only what lies behind that
+    begin = np.where((first_doc == doc) & ~stays, np.maximum(at, first_at + RUN), at)
+    starts = word_starts(text)
+    state = np.zeros(len(starts) + 1, np.int8)
+    for kind, mine in ((1, stays), (2, ~stays)):
+        change = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(change, begin[mine], 1)
+        np.add.at(change, at[mine] + RUN, -1)
+        state[np.cumsum(change) > 0] = kind
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], state])))
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if state[a]:
+            mine = np.flatnonzero((stays if state[a] == 1 else ~stays) & (begin < b) & (at + RUN > a))
+            start = int(starts[a])
+            length = len(text[start : int(starts[b])].rstrip())
+            out.append((doc, start, length, b - a, int(first_doc[mine].min()), int(n[mine].max()), bool(state[a] == 2)))
+    return out
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line, first, n_words, start, stop, class): every segment, with its line, words and code points."""
+def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Passages that repeat, outside the lines given as (doc_id, line), each once: same columns as ``duplicates``."""
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def found(batches):
+    def sown(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(4)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                first, last, digest = segments(t.lower().split())
-                if not len(first):
-                    continue
-                at = word_starts(t)
-                breaks = np.flatnonzero(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
-                for column, x in zip(out, (np.full(len(first), i), np.searchsorted(breaks, at[first]), first, last - first, at[first], at[last], digest), strict=True):
-                    column.append(x)
+                at, h = seeds(t.lower().split())
+                if len(at):
+                    for column, x in zip(out, (np.full(len(at), i), _line_of(t, word_starts(t)[at]), at, h.view(np.int64)), strict=True):
+                        column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["doc_id", "line", "first", "n_words", "start", "stop", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["doc_id", "line", "at", "class"])
 
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return whole.mapInArrow(found, "doc_id long, line long, first long, n_words long, start long, stop long, class long")
+    def repeated(rows: DataFrame, total: int, name: str) -> DataFrame:
+        first = F.min(F.struct("doc_id", "at")).alias("first")
+        classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first).where("n > 1"), name)
+        return join_skewed(rows, classes, "class", "n", total)
 
+    rows = materialize(whole.mapInArrow(sown, "doc_id long, line long, at long, class long"), "seeds")
+    again = materialize(repeated(rows, rows.count(), "seed-classes").drop("n", "first").join(lines.select("doc_id", "line"), ["doc_id", "line"], "left_anti"), "repeated-seeds")
+    wanted = repeated(again, again.count(), "free-classes").groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
+    gone = lines.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    around = whole.join(materialize(wanted.join(gone, "doc_id", "left"), "wanted").hint("merge"), "doc_id").select("doc_id", "text", "wanted", "gone")
 
-def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Passages that repeat, outside the duplicate lines given as (doc_id, line): same columns as ``duplicates``."""
-    rows = materialize(pieces(docs, id_col, text_col), "pieces")
-    classes = rows.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("stays")).where("n > 1")
-    repeated = join_skewed(rows, materialize(classes, "piece-classes"), "class", "n", rows.count()).join(lines.select("doc_id", "line"), ["doc_id", "line"], "left_anti")
-    by_doc = Window.partitionBy("doc_id").orderBy("first")
-    marked = repeated.withColumn("new", (F.coalesce(F.lag(F.col("first") + F.col("n_words")).over(by_doc), F.lit(-1)) != F.col("first")).cast("int"))
-    marked = marked.withColumn("run", F.sum("new").over(by_doc)).withColumn("removed", (F.col("doc_id") != F.col("stays.doc_id")) | (F.col("first") != F.col("stays.first")))
-    runs = marked.groupBy("doc_id", "run").agg(
-        F.min("line").alias("line"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("length"), F.sum("n_words").alias("n_words"),
-        F.min("stays.doc_id").alias("class_doc_id"), F.lit(None).cast("long").alias("class_line"), F.max("n").alias("class_size"), F.max("removed").alias("removed"),
-    )
-    return runs.where(F.col("n_words") >= RUN).drop("run")
+    def compared(batches):
+        for b in batches:
+            for i, t, w, g in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                first, digests = windows(t, w, g or [])
+                if len(first):
+                    keys = pa.Array.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(np.ascontiguousarray(digests))]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), i), pa.int64()), pa.array(first, pa.int64()), keys], ["doc_id", "at", "class"])
+
+    near = materialize(around.mapInArrow(compared, "doc_id long, at long, class binary"), "windows")
+    equal = repeated(near, near.count(), "window-classes").select("doc_id", F.struct("at", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")).alias("x"))
+    held = materialize(equal.groupBy("doc_id").agg(F.collect_list("x").alias("found")), "equal-windows")
+
+    def joined(batches):
+        for b in batches:
+            for i, t, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                out = runs(i, t, x)
+                columns = list(zip(*out, strict=True))
+                line = _line_of(t, np.array(columns[1])) if out else []
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(line, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:6]), pa.array(columns[6])], ["doc_id", "line", "start", "length", "n_words", "class_doc_id", "class_size", "removed"])
+
+    told = whole.join(held.hint("merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(joined, "doc_id long, line long, start long, length long, n_words long, class_doc_id long, class_size long, removed boolean")
+    return told.select("doc_id", "line", "start", "length", "n_words", "class_doc_id", F.lit(None).cast("long").alias("class_line"), "class_size", "removed")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -324,7 +382,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = single.withColumn("removed", F.col("gone") | (place != F.col("stays"))).withColumn("kind", F.lit("line"))
     columns = ["doc_id", "line", "start", "length", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"), "class_size", "removed", "kind"]
     lines = materialize(single.select(*columns).unionByName(whole_ones.select(*columns)), "lines")
-    found = passages(docs, lines, id_col, text_col)
+    found = passages(docs, lines.where("kind = 'line'").select("doc_id", "line"), id_col, text_col)
     return lines.unionByName(found.withColumn("kind", F.lit("passage")))
 
 

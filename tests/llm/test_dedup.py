@@ -154,6 +154,21 @@ def test_hidden_passages(spark):
         assert len(text.split()) == r["n_words"]
 
 
+def test_passages_are_found_whole(spark):
+    """Every passage of 16 words and more, and all of its words."""
+    sources = {i: prose(2500 + i, 300) for i in range(60)}
+    hosts, want = {}, set()
+    for i in range(60):
+        words, host = sources[i].split(), prose(2900 + i, 200).split()
+        at, k = 20 + 3 * i, 16 + i
+        hosts[100 + i] = " ".join([*host[:77], *words[at : at + k], *host[77:]])
+        want.add((100 + i, i, len(" ".join(host[:77])) + 1, len(" ".join(words[at : at + k])), k))
+    found = paragraphs.duplicates(spark.createDataFrame([*sources.items(), *hosts.items()], "doc_id long, text string")).where("kind = 'passage' and removed").collect()
+    got = {(r["doc_id"], r["class_doc_id"], r["start"], r["length"], r["n_words"]) for r in found}
+    # a word beside a passage may happen to agree
+    assert len(got) == len(want) and all(any(g[:2] == w[:2] and g[2] <= w[2] and g[2] + g[3] >= w[2] + w[3] and g[4] <= w[4] + 4 for g in got) for w in want)
+
+
 def test_exact_jaccard():
     rng = random.Random(4)
     sets = [np.unique(np.array([rng.randint(0, 60) for _ in range(40)], np.uint64)) for _ in range(60)]
