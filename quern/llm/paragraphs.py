@@ -413,8 +413,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def removed_text(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): the texts without their removed lines and paragraphs."""
-    gone = found.where("removed and kind <> 'passage'").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("gone"))
+    """(doc_id, text): the texts without their removed lines, paragraphs and passages."""
+    gone = found.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("gone"))
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone")
 
     def cut(batches):

@@ -169,6 +169,15 @@ def test_passages_are_found_whole(spark):
     assert len(got) == len(want) and all(any(g[:2] == w[:2] and g[2] <= w[2] and g[2] + g[3] >= w[2] + w[3] and g[4] <= w[4] + 4 for g in got) for w in want)
 
 
+def test_removed_passages_leave_the_text(spark):
+    words, host, other = prose(81, 300).split(), prose(82, 200).split(), prose(83, 100)
+    line = prose(84, 40)
+    rows = [(1, " ".join(words)), (2, " ".join([*host[:77], *words[50:130], *host[77:]])), (3, line), (4, "\n".join([other, line, " ".join(["näher", *words[200:260], "zum"]), "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = by_id(paragraphs.removed_text(df, paragraphs.duplicates(df)), "text")
+    assert left == {1: rows[0][1], 2: " ".join(host), 3: line, 4: other + "\nnäher zum\nend"}
+
+
 def test_exact_jaccard():
     rng = random.Random(4)
     sets = [np.unique(np.array([rng.randint(0, 60) for _ in range(40)], np.uint64)) for _ in range(60)]
