@@ -207,7 +207,8 @@ def runs(doc: int, text: str, found: list[dict]) -> list[tuple]:
 
 
 def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Passages that repeat, outside the lines given as (doc_id, line), each once: same columns as ``duplicates``."""
+    """Passages that repeat, outside the removed lines given as (doc_id, line), each once: same columns as ``duplicates``. Lines that stay
+    take part, so the copy that stays is chosen over lines and passages together."""
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sown(batches):
@@ -382,7 +383,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = single.withColumn("removed", F.col("gone") | (place != F.col("stays"))).withColumn("kind", F.lit("line"))
     columns = ["doc_id", "line", "start", "length", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"), "class_size", "removed", "kind"]
     lines = materialize(single.select(*columns).unionByName(whole_ones.select(*columns)), "lines")
-    found = passages(docs, lines.where("kind = 'line'").select("doc_id", "line"), id_col, text_col)
+    taken = lines.where("removed and kind = 'line'").select("doc_id", "line").unionByName(gone.select("doc_id", "line")).distinct()
+    found = passages(docs, materialize(taken, "taken"), id_col, text_col)
     return lines.unionByName(found.withColumn("kind", F.lit("passage")))
 
 

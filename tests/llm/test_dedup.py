@@ -178,6 +178,16 @@ def test_removed_passages_leave_the_text(spark):
     assert left == {1: rows[0][1], 2: " ".join(host), 3: line, 4: other + "\nnäher zum\nend"}
 
 
+def test_one_copy_stays(spark):
+    """Excerpts of different length, and a line that stays among lines but is part of an earlier document's longer line."""
+    a, b, line = prose(91, 60), prose(92, 60), prose(93, 40)
+    around = lambda k, inner: f"{prose(600 + k, 50)} {inner} {prose(650 + k, 50)}"
+    rows = [(1, around(1, a)), (2, around(2, f"{a} {b}")), (3, around(3, f"{a} {b}")), (4, around(4, line)), (5, f"{prose(94, 30)}\n{line}"), (6, f"{line}\n{prose(95, 30)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = by_id(paragraphs.removed_text(df, paragraphs.duplicates(df)), "text")
+    assert left == {1: rows[0][1], 2: around(2, b), 3: around(3, "").replace("  ", " "), 4: rows[3][1], 5: prose(94, 30), 6: prose(95, 30)}
+
+
 def test_exact_jaccard():
     rng = random.Random(4)
     sets = [np.unique(np.array([rng.randint(0, 60) for _ in range(40)], np.uint64)) for _ in range(60)]
