@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel restoration of disguised words, then a score of the restored text.
 
-A word that looks disguised (digits or symbols between letters, stretched letters, single letters with blanks between them) becomes a
-lattice: what each character may have been, and what the writer's habit costs. Viterbi search finds the likeliest reading under
+A word that is disguised (it has a letter, or a sign that may stand for one, beside digits or symbols; stretched letters; single letters with blanks between
+them) becomes a lattice, whatever its length; plain words and numbers are read as they stand. Spaced-out letters, and longer strings than a word, may hold several words. In the lattice is what each character may have been, and what the writer's habit costs. Viterbi search finds the likeliest reading under
 a trigram language model over characters, counted over all documents.
 
 The score: words and word beginnings whose rate per word differs between toxic and clean training rows form a lexicon; a logistic
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,17 @@ SAMPLE = 20_000
 #: Lexicon entries at most; documents and standard deviations that an entry needs.
 ENTRIES, LEAST_DOCS, LEAST_Z = 2000, 6, 6.0
 PREFIXES = (4, 5, 6, 7, 8)
-#: Longer strings between blanks aren't words and are read as they stand.
+#: Longer strings between blanks may be several words; so many letters of a word are its entry in the lexicon, and a checksum of the rest.
 LONGEST = 24
+#: Runs after which the search writes out what all its readings agree in.
+WINDOW = 64
 LETTERS = 28  # a to z, any other letter, and the edge of a word
 
 # What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SUBSTITUTED, SKIPPED, STRETCHED = -1.0, -1.5, -0.5
 _EDGES = re.compile(r"^[^\w@$!|+(€]+|[.,;:!?\"')\]}…]+$|([^\w\s])\1{2,}$")
-_DISGUISED = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|+(€][^\W\d_]{2}|[^\W\d_]{2}[\d@$|+€]$|([^\W\d_])\1\1")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?![^\s.,;:!?])")
 
 
@@ -85,32 +88,32 @@ class Restorer:
     def __init__(self, model: np.ndarray, most: int = 100_000):
         self.model, self.most, self.known = model.tolist(), most, {}
 
-    def word(self, raw: str) -> str:
-        out = self.known.get(raw)
+    def word(self, raw: str, spaced: bool = False) -> str:
+        """spaced: its letters had blanks between them, so it may be several words."""
+        out = self.known.get((raw, spaced))
         if out is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            self.known[raw] = out = self._read(raw)
+            self.known[raw, spaced] = out = self._read(raw, spaced)
         return out
 
-    def _read(self, raw: str) -> str:
-        low = raw.lower()
-        if low.isalpha():
-            return self.viterbi(low) if len(low) <= LONGEST and _DISGUISED.search(low) else low
-        core = low
-        while (cut := _EDGES.sub("", core)) != core:
-            core = cut
-        letters = sum(map(str.isalpha, core))
-        plausible = 2 * letters >= len(core) or letters >= 2 and all(c.isalpha() or c in SIGNS for c in core)
-        if len(core) <= LONGEST and plausible and _DISGUISED.search(core):
-            return self.viterbi(core)
+    def _read(self, raw: str, spaced: bool) -> str:
+        core = raw.lower()
+        if not core.isalpha():
+            while (cut := _EDGES.sub("", core)) != core:
+                core = cut
+        if core.isalpha():
+            return self.viterbi(core, spaced) if spaced or _STRETCHED.search(core) else core
+        if any(c.isalpha() or c in SIGNS and not c.isdigit() for c in core):
+            return self.viterbi(core, spaced or len(core) > LONGEST)
         return core
 
-    def viterbi(self, seen: str) -> str:
-        """The likeliest reading. A state is the two last symbols; a stretch of one letter is read as one or two of it."""
+    def viterbi(self, seen: str, several: bool = False) -> str:
+        """The likeliest reading, of several words if so told. A state is the two last symbols; a stretch of one letter is read as one or two of it."""
         edge = LETTERS - 1
         states: dict[tuple[int, int], tuple[float, str]] = {(edge, edge): (0.0, "")}
-        for run in re.findall(r"((.)\2*)", seen):
+        done = []
+        for at, run in enumerate(re.findall(r"((.)\2*)", seen, re.DOTALL)):
             c, n = run[0][0], len(run[0])
             readings: list[tuple[str, float]] = []
             if c.isalpha():
@@ -118,18 +121,28 @@ class Restorer:
             else:
                 readings = [(x * k, SUBSTITUTED * k) for x in SIGNS.get(c, "") for k in {1, min(n, 2)}]
                 readings.append(("", SKIPPED * (4 * n if c in SIGNS else 1 if c in ".-_*'’·" else 2)))
+            if several and at:
+                readings += [(" " + text, cost) for text, cost in readings]
+                readings += [(text[0] + " " + text[1:], cost) for text, cost in readings if len(text) == 2 and text[0] == text[1]]
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, said) in states.items():
                 for text, cost in readings:
+                    if b == edge and text[:1] == " ":
+                        continue
                     x, y, s = a, b, score + cost
                     for ch in text:
-                        k = _letter(ch)
+                        k = edge if ch == " " else _letter(ch)
                         s += self.model[x][y][k]
                         x, y = y, k
                     if (x, y) not in after or after[x, y][0] < s:
                         after[x, y] = (s, said + text)
             states = after
-        return max((s + self.model[a][b][edge], said) for (a, b), (s, said) in states.items())[1]
+            if at % WINDOW == WINDOW - 1:
+                shared = commonprefix([said for _, said in states.values()])
+                done.append(shared)
+                states = {k: (s, said[len(shared) :]) for k, (s, said) in states.items()}
+        done.append(max((s + self.model[a][b][edge], said) for (a, b), (s, said) in states.items())[1])
+        return "".join(done).strip()
 
     def words(self, text: str) -> list[str]:
         """A whole text's words, restored."""
@@ -138,9 +151,13 @@ class Restorer:
         out = []
         for raw in text.split():
             if "‍" in raw and _SPACED_JOINED.fullmatch(raw):
-                out.append(self.word(raw.replace("‍", "")))
+                word = self.word(raw.replace("‍", ""), True)
             else:
-                out.append(self.word(raw))
+                word = self.word(raw)
+            if " " in word:
+                out += word.split()
+            else:
+                out.append(word)
         return out
 
 
@@ -149,7 +166,8 @@ _SPACED_JOINED = re.compile(r"\w(?:‍\w)+\W*")
 
 def entries(word: str) -> list[str]:
     """What of a word can be in the lexicon: its beginnings, and the word with its end marked."""
-    return [word[:k] for k in PREFIXES if len(word) > k] + [word + "$"] if 2 < len(word) <= LONGEST else []
+    whole = word if len(word) <= LONGEST else f"{word[:LONGEST]}{zlib.crc32(word.encode('utf-8', 'surrogatepass')):08x}"
+    return [word[:k] for k in PREFIXES if len(word) > k] + [whole + "$"] if len(word) > 2 else []
 
 
 def family(words: list[str]) -> int:

@@ -188,3 +188,18 @@ def test_restoration():
     for seen, want in (("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("tr@sh###", "trash"), ("scuuuum", "scum"), ("w0rthle55", "worthless"), ("the,", "the"), ("plain", "plain"), ("2024", "2024"), ("", "")):
         assert read.word(seen) == want, seen
     assert read.words("the s c u m, x") == ["the", "scum", "x"]
+
+
+def test_restoration_of_long_and_heavy_disguises():
+    counts = np.zeros(28**3)
+    for w in ["scum", "trash", "idiot", "idiotic", "shit", "the", "worthless", "you are worthless trash you idiot"] * 50:
+        counts += toxicity.trigrams(w)
+    n = counts.reshape(28, 28, 28)
+    pairs = n.sum(0) + 0.5
+    read = toxicity.Restorer(np.log((n + 20 * (pairs / pairs.sum(1, keepdims=True))[None]) / (n.sum(2, keepdims=True) + 20)))
+    for seen, want in (("idi" + "o" * 40 + "t", "idiot"), (".".join("idiot") + "...." + ".".join("worthless"), "idiot worthless"), ("5h17", "shit"), ("1d107", "idiot"), ("i" + "." * 30 + "diot", "idiot"), ("12.30", "12.30"), ("hello", "hello")):
+        assert " ".join(read.words(seen)) == want, seen
+    assert read.word("0000idiot") in ("idiot", "oidiot", "ooidiot")  # zeros may be letters
+    assert read.words("so " + " ".join("youareworthlesstrashyouidiot") + ".") == ["so", "you", "are", "worthless", "trash", "you", "idiot"]
+    assert read.words(" ".join("youidiot" * 40)) == ["you", "idiot"] * 40
+    assert "idiot" * 10 + "$" not in toxicity.entries("idiot" * 10) and len(toxicity.entries("idiot" * 10)) == 6
