@@ -33,7 +33,7 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
+    findings, _ = secrets.scan_history(documents(spark, sf_dir, "doc_id", "text"))
     return secrets.report(findings)
 
 

@@ -86,6 +86,17 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return join_skewed(paths, by_blob, "blob", "n", paths.count()).drop("blob", "n"), grown
 
 
+def scan_history(docs: DataFrame, increments: int = 2, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Scan docs as they grow in so many increments: each scan gets the ledger that the one before wrote to the shared folder. Returns the
+    findings of all docs and the last ledger."""
+    ledger = None
+    for k in range(increments):
+        there = docs.where(F.pmod(F.xxhash64(id_col), F.lit(increments)) <= k)
+        findings, grown = scan(there, ledger, rules, id_col, text_col)
+        ledger = materialize(grown, "ledger")
+    return findings, ledger
+
+
 def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts by kind, all spans as kind:start:end in order, and the SHA-256 of that list."""
     def told(k: int, r: Rule) -> Column:

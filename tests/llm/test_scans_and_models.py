@@ -203,3 +203,22 @@ def test_restoration_of_long_and_heavy_disguises():
     assert read.words("so " + " ".join("youareworthlesstrashyouidiot") + ".") == ["so", "you", "are", "worthless", "trash", "you", "idiot"]
     assert read.words(" ".join("youidiot" * 40)) == ["you", "idiot"] * 40
     assert "idiot" * 10 + "$" not in toxicity.entries("idiot" * 10) and len(toxicity.entries("idiot" * 10)) == 6
+
+
+def test_secrets_query_passes_its_ledger_on(spark, tmp_path, monkeypatch):
+    from quern.llm import queries
+
+    rows = [(i, f"text {i % 15} token={'k' * (6 + i % 5)}" if i % 7 else None) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, scan = [], secrets.scan
+
+    def watched(docs, ledger=None, *more):
+        out = scan(docs, ledger, *more)
+        seen.append((0 if ledger is None else ledger.count(), out[1].count()))
+        return out
+
+    monkeypatch.setattr(secrets, "scan", watched)
+    got = sorted(map(tuple, queries.op3_secrets(spark, str(tmp_path)).collect()))
+    findings, grown = scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == sorted(map(tuple, secrets.report(findings).collect()))
+    assert len(seen) == 2 and seen[0][0] == 0 < seen[1][0] == seen[0][1] and seen[1][1] == grown.count()
