@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quern.llm.common import sliced
+
 VOCABULARY = "word_bpe_49k.json"
 
 # The vocabulary's own splitting pattern, here for texts in lower case within Latin-1.
@@ -195,12 +197,12 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or vocabulary_path()
 
     def binned(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_bin(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "text", "bin"])
 
     def coded(batches):
         chunks = chunks_of(path)
-        for b in batches:
+        for b in sliced(batches, 500):
             rows = [chunks.encode(t) for t in b.column(1).to_pylist()]
             out = [b.column(0), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows]), pa.array([hashlib.sha256(t).hexdigest() for _, t in rows])]
             if keep_ids:

@@ -2,39 +2,72 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a temporary one for this application."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one for this application in local mode,
+    whose executors are the driver itself; on a cluster a folder of this machine would lose data, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
+        atexit.register(shutil.rmtree, _own[app].removeprefix("file://"), ignore_errors=True)
     return _own[app]
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/quern-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and reread it: this cuts the lineage, survives
     the loss of any executor, and gives the planner the table's true size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quern_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read again, not even a retried task."""
+    for t in tables:
+        _delete(t.sparkSession, t.quern_path)
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of one Arrow batch, since a text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this application has put into the shared folder: once all results are read."""
+    _delete(spark, _home(spark))
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to so many rows. Spark bounds a batch by its bytes; this bounds what Python makes of it at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -42,15 +75,26 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+#: Shares that a hot key is dealt out to where its payload can't be broadcast.
+SHARES = 64
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, wide: bool = False) -> DataFrame:
     """Inner join on key, where right has one row per key and its column weight says how many rows of left
-    have that key. Keys holding a thousandth of all rows or more (at most 1000, so safe to
-    broadcast) are joined without a shuffle; the rest go through an ordinary join."""
+    have that key. Keys holding a thousandth of all rows or more (at most 1000, so with rows of a fixed size safe to
+    broadcast) are joined without a shuffle; the rest go through an ordinary join. wide: right's rows have no bound in size, so of hot ones the keys alone are
+    broadcast, and left's rows of such a key are dealt out to SHARES copies of its row. left is read from files, so that a retried task deals
+    them out alike."""
     least = max(1000, total // 1000)
     hot = right.where(F.col(weight) >= least)
     cold = right.where(F.col(weight) < least)
     names = F.broadcast(hot.select(key))
-    return left.join(F.broadcast(hot), key).unionByName(left.join(names, key, "left_anti").join(cold, key))
+    rest = left.join(names, key, "left_anti").join(cold, key)
+    if not wide:
+        return left.join(F.broadcast(hot), key).unionByName(rest)
+    dealt = left.join(names, key, "left_semi").withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("int"))
+    copies = hot.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(copies.hint("merge"), [key, "_share"]).drop("_share").unionByName(rest)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -63,6 +107,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialize(e, "edges")
     last = None
     for _ in range(max_rounds):
+        before = e
         # large-star: every neighbour above a node is linked to the least of the node's neighbourhood
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -72,6 +117,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = e.join(low, "a")
         e = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = materialize(e, "edges")
+        release(before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

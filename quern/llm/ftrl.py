@@ -32,8 +32,32 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def loss(logits: np.ndarray, labels: np.ndarray, heat: float) -> float:
+    """Mean cross-entropy at a temperature against smoothed targets (Platt, 1999): of n examples, the label has (n + 1) / (n + 2) and the other classes
+    share the rest, so the least loss lies at a finite temperature even where every example is told right."""
+    n, k = logits.shape
+    x = logits / heat
+    x = x - x.max(1, keepdims=True)
+    p = x - np.log(np.exp(x).sum(1, keepdims=True))
+    own = p[np.arange(n), labels]
+    rest = (p.sum(1) - own) / max(1, k - 1)
+    return float(-(own * (n + 1) + rest).mean() / (n + 2))
+
+
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature between 1/20 and 20 under which held-back examples are likeliest."""
-    grid = np.exp(np.linspace(-3, 3, 121))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    """The temperature under which held-back examples are likeliest. The loss is convex in its inverse; the search range doubles until the
+    least loss is inside it, then narrows down."""
+    if logits.shape[0] == 0 or logits.shape[1] < 2 or not np.abs(logits - logits[:, :1]).any():
+        return 1.0
+    low, high = -4.0, 4.0
+    for _ in range(60):
+        grid = np.linspace(low, high, 65)
+        best = int(np.argmin([loss(logits, labels, float(np.exp(g))) for g in grid]))
+        if best in (0, 64) and high - low < 64:
+            low, high = (low - (high - low), high) if best == 0 else (low, high + (high - low))
+            continue
+        if high - low < 1e-3:
+            return float(np.exp(grid[best]))
+        step = grid[1] - grid[0]
+        low, high = grid[best] - 2 * step, grid[best] + 2 * step
+    return float(np.exp(grid[best]))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import sliced
+
 WIDTH, ROWS = 64, 1024
 DELAY = 10
 _GREY = bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
@@ -248,7 +250,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
     """One row per frame: id, frame, start_cs, delay_cs, width, height, histogram (8 levels each of red, green, blue), pixels (RGBA)."""
 
     def timed(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, f in enumerate(decode(data).frames if data is not None else []):
@@ -268,7 +270,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, n_bytes, media): each text's bytes, padded with zeros to a positive multiple of 64, as a GIF."""
 
     def stored(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             media = [encode(payload_of(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -280,7 +282,7 @@ def features(media: DataFrame) -> DataFrame:
     """Read the stored GIFs back and digest them."""
 
     def read(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for i, n, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 gif = decode(data)

@@ -5,7 +5,9 @@ row. The classifier is fitted on a bounded sample: at most about SAMPLE rows of
 serves for the temperature.
 
 Defined results: `und` with score 0 for null texts and texts without a letter; texts of any length count whole; without labelled rows every text
-is `und`; a tie goes to the language first in the alphabet; equal texts get equal results.
+is `und`; rows without a language aren't learned from; a tie goes to the language first in the alphabet; equal texts get equal results; repeated rows
+count as often as they occur, and each gets its own result; an empty table gives an empty result; columns other than the id, the text and the language
+are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.common import materialize, release, sliced
 from quern.llm.ftrl import Ftrl, softmax, temperature
 
 BITS = 14
@@ -57,75 +60,98 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
+    def logits(self, text: str) -> np.ndarray:
+        """Summed feature by feature in one order, so that equal texts get equal results in any batch."""
+        at, x = vector(text, self.idf)
+        return (x[:, None] * self.weights[at]).sum(0) + self.bias
 
 
-def vectors(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF with logarithmic term frequencies, each row of length one."""
-    x = np.log1p(np.array(rows, dtype=np.float32)) * idf
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF with logarithmic term frequencies, of length one: the features that occur, and their values."""
+    c = counts(text)
+    at = np.flatnonzero(c)
+    x = np.log1p(c[at]) * idf[at]
+    return at, x / max(float(np.sqrt((x * x).sum())), 1e-9)
+
+
+def fit(lang: list[str], at: list[np.ndarray], values: list[np.ndarray], languages: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, bias and temperature from examples in a fixed order."""
+    bias = 1 << BITS
+    examples = [(np.append(i, bias), np.append(x, 0.2), languages.index(y)) for i, x, y in zip(at, values, lang, strict=True)]
+    order = np.random.default_rng(4)
+    shuffled = [examples[i] for i in order.permutation(len(examples))]
+    held = shuffled[: len(shuffled) // 5] if len(shuffled) >= 50 else shuffled
+    learned = shuffled[len(held) :] if len(shuffled) >= 50 else shuffled
+    learner = Ftrl(bias + 1, len(languages))
+    for _ in range(EPOCHS):
+        for i in order.permutation(len(learned)):
+            learner.learn(*learned[i])
+    w = learner.weights()
+    heat = temperature(np.array([x @ w[i] for i, x, _ in held]), np.array([y for _, _, y in held]))
+    return w[:-1], 0.2 * w[-1], heat
 
 
 def train(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from the rows where training holds and the language isn't null."""
-    rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    """Learn from the rows where training holds and the language isn't null. The sample is fitted in one executor task, so the driver
+    holds the model alone."""
+    rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     languages, total = sorted(sizes), sum(sizes.values())
 
     def frequencies(batches):
         seen = np.zeros(1 << BITS, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 seen += counts(t) > 0
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["at", "n"])
 
-    idf = np.full(1 << BITS, np.log(1.0 + total), np.float32)
-    for r in rows.select("text").mapInArrow(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2^14 rows
+    idf = np.full(1 << BITS, np.log(1.0 + total))
+    for r in rows.select("text").mapInArrow(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2^14 rows
         idf[r["at"]] = np.log((1.0 + total) / (1.0 + r["n"])) + 0.05
     if not languages:
-        return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
 
     def sparse(batches):
-        for b in batches:
-            x = vectors([counts(t) for t in b.column(1).to_pylist()], idf)
-            at = [np.flatnonzero(row) for row in x]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array([row[i] for row, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], ["doc_id", "lang", "at", "x"])
+        for b in sliced(batches):
+            found = [vector(t, idf) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at.astype(np.uint16).tobytes() for at, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())], ["doc_id", "lang", "at", "x"])
+
+    def fitted(batches):
+        held = [b for b in batches if b.num_rows]
+        found = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("doc_id", "lang", "at", "x")])  # the order must not depend on the tasks
+        at = [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in found.column("at")]
+        values = [np.frombuffer(x.as_py(), np.float32) for x in found.column("x")]
+        w, bias, heat = fit(found.column("lang").to_pylist(), at, values, languages)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias.tobytes()], pa.binary()), pa.array([heat], pa.float64())], ["weights", "bias", "temperature"])
 
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample / n))])[F.col("lang")]
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    found = sorted(chosen.mapInArrow(sparse, "doc_id long, lang string, at array<int>, x array<float>").collect(), key=lambda r: r["doc_id"])
-    examples = [(np.array([*r["at"], 1 << BITS]), np.array([*r["x"], 0.2]), languages.index(r["lang"])) for r in found]
-    order = np.random.default_rng(4)
-    shuffled = [examples[i] for i in order.permutation(len(examples))]
-    held = shuffled[: len(shuffled) // 5] if len(shuffled) >= 50 else shuffled
-    learner = Ftrl((1 << BITS) + 1, len(languages))
-    for _ in range(EPOCHS):
-        for i in order.permutation(len(shuffled)):
-            if len(held) == len(shuffled) or i >= len(held):
-                learner.learn(*shuffled[i])
-    w = learner.weights()
-    logits = np.array([x @ w[at] for at, x, _ in held])
-    heat = temperature(logits, np.array([y for _, _, y in held]))
-    return Model(languages, idf, w[:-1].astype(np.float32), 0.2 * w[-1], heat)
+    examples = materialize(chosen.mapInArrow(sparse, "doc_id long, lang string, at binary, x binary"), "examples")  # about `sample` rows of each language
+    found = examples.repartition(1).mapInArrow(fitted, "weights binary, bias binary, temperature double").first() if examples.take(1) else None
+    release(examples)
+    if found is None:  # a small sample may have no row at all
+        return Model(languages, idf, np.zeros((1 << BITS, len(languages))), np.zeros(len(languages)), 1.0)
+    weights = np.frombuffer(found["weights"], np.float64).reshape(1 << BITS, len(languages))
+    return Model(languages, idf, weights, np.frombuffer(found["bias"], np.float64), found["temperature"])
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str, pred: str, score: str) -> DataFrame:
-    """All columns of docs, and the likeliest language and its calibrated probability as pred and score."""
+    """All columns of docs, and the likeliest language and its calibrated probability as pred and score, which no column of docs may be named."""
     place = docs.columns.index(text_col)
 
     def guessed(batches):
-        for b in batches:
-            texts = b.column(place).to_pylist()
-            known = [i for i, t in enumerate(texts) if model.languages and lettered(t)]
-            lang, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            for s in range(0, len(known), 100):
-                part = known[s : s + 100]
-                p = softmax(model.logits(vectors([counts(texts[i]) for i in part], model.idf)).astype(np.float64) / model.temperature)
-                for i, row in zip(part, p, strict=True):
-                    best = int(row.argmax())
-                    lang[i], sure[i] = model.languages[best], min(1.0, float(row[best]))
+        for b in sliced(batches):
+            lang, sure = [], []
+            for t in b.column(place).to_pylist():
+                if not model.languages or not lettered(t):
+                    lang.append(UNDETERMINED)
+                    sure.append(0.0)
+                    continue
+                p = softmax(model.logits(t) / model.temperature)
+                best = int(p.argmax())
+                lang.append(model.languages[best])
+                sure.append(min(1.0, float(p[best])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, pred, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe
-from quern.llm.common import materialize
+from quern.llm.common import materialize, sliced
 
 #: Pieces of one length that are ranked in one group, on average.
 RANKED = 2000
@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, path: str, closing: int, capacity: int, id_col: str
 
     def cut(batches):
         words = bpe.chunks_of(path).words
-        for b in batches:
+        for b in sliced(batches, 500):
             out = [[], [], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = words.ids(text) + end

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, join_skewed, materialize
+from quern.llm.common import components, join_skewed, materialize, sliced
 
 LEAST = 5
 #: Words of a seed, and of a passage at least.
@@ -212,7 +212,7 @@ def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> D
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sown(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             out: list[list] = [[] for _ in range(4)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at, h = seeds(t.lower().split())
@@ -234,7 +234,7 @@ def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> D
     around = whole.join(materialize(wanted.join(gone, "doc_id", "left"), "wanted").hint("merge"), "doc_id").select("doc_id", "text", "wanted", "gone")
 
     def compared(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             for i, t, w, g in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 first, digests = windows(t, w, g or [])
                 if len(first):
@@ -246,7 +246,7 @@ def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> D
     held = materialize(equal.groupBy("doc_id").agg(F.collect_list("x").alias("found")), "equal-windows")
 
     def joined(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             for i, t, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 out = runs(i, t, x)
                 columns = list(zip(*out, strict=True))
@@ -264,7 +264,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
         return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
 
     def found(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             parts, wholes, lists, within = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for line, lines, start, length, words, inner in blocks(t, least):
@@ -318,7 +318,7 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "doc_id").select("text", "wanted")
 
     def sets_of(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             ids, lists, levels = [], [], []
             for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by_place = {(x["level"], x["line"]): x["class"] for x in w}
@@ -420,7 +420,7 @@ def removed_text(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone")
 
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             texts = [without(t, [(x["start"], x["stop"]) for x in g]) if g and t is not None else t for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

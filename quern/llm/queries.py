@@ -9,26 +9,22 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import bpe, exact_dedup, gif, language, packing, paragraphs, secrets, simhash, suffixes, toxicity
-from quern.llm.common import documents, small_batches
+from quern.llm.common import documents
 
 
 def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return paragraphs.duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 10_000)
     return exact_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"), lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return suffixes.dedup(documents(spark, sf_dir, "doc_id", "text"))
 
 
@@ -38,28 +34,23 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 200)
     return gif.features(gif.store(documents(spark, sf_dir, "doc_id", "text")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 1000)
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.rate(documents(spark, sf_dir, "doc_id", "text"), labels, lambda doc_id: language.remainder(doc_id) == 0)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return bpe.encode(documents(spark, sf_dir, "doc_id", "text"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import materialize, sliced
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
@@ -90,7 +90,7 @@ def dealt(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
 
     def found(batches):
         parts, held = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = t.encode()
                 if len(data) < LENGTH:
@@ -147,7 +147,7 @@ def runs(texts: DataFrame) -> DataFrame:
     bytes that their strings cover, and the hash of the bytes that all of them share."""
 
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[], [], [], []]
             for i, t, packs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 data = t.encode()
@@ -308,7 +308,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     gone = found.where("removed").select("doc_id", "packed").unionByName(more).groupBy("doc_id").agg(F.collect_list("packed").alias("gone"))
 
     def kept(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for i, t, packs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 data = t.encode()

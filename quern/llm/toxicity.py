@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import materialize, sliced
 
 #: Labelled rows that the classifier is fitted on, about.
 SAMPLE = 20_000
@@ -67,7 +67,7 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def counted(batches):
         total = np.zeros(LETTERS**3, np.int64)
-        for b in batches:
+        for b in sliced(batches, 500):
             for t in b.column(0).to_pylist():
                 total += trigrams(t)
         at = np.flatnonzero(total)
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, training, sample: int = SAMPLE) ->
 
     def restored(batches):
         read = Restorer(language)
-        for b in batches:
+        for b in sliced(batches, 500):
             words = [read.words(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([family(w) for w in words], pa.int64()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "family", "words"])
 
@@ -243,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, training, sample: int = SAMPLE) ->
         return Model(language, {}, np.array([0, 0, 0, -30.0]))
 
     def listed(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             out: dict[tuple[str, int], list[int]] = {}
             for toxic, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 mine: dict[str, int] = {}
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, training, sample: int = SAMPLE) ->
 
     def weighed(batches):
         weights = Weights(model)
-        for b in batches:
+        for b in sliced(batches, 500):
             rows = [model.features(w, weights.__getitem__) for w in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], ["toxic", "weight", "n"])
 
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches):
         weights = Weights(model)
-        for b in batches:
+        for b in sliced(batches, 500):
             rows = [model.features(weights.restorer.words(t), weights.__getitem__) for t in b.column(1).to_pylist()]
             p = model.probability(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
