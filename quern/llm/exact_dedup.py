@@ -5,7 +5,8 @@ each shard of its digests. An incoming batch is grouped by itself; the filters s
 positives meet the snapshot's exact buckets, where the texts themselves are compared byte by byte.
 
 Defined results: a null text counts as the empty text; empty texts equal one another; repeated rows count as
-often as they occur; an empty table gives an empty result; columns other than the id and the text are not read.
+often as they occur, and all rows of the largest id stay; rows of one id may have different texts; an empty table gives an empty result; columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import fuse
@@ -33,9 +34,9 @@ class Snapshot:
     shards: int
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha): the SHA-256 of each whole text in UTF-8."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("sha"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, sha): the SHA-256 of each whole text in UTF-8; and more columns, if asked for."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("sha"), *more)
 
 
 def groups_of(hashed: DataFrame) -> DataFrame:
@@ -86,21 +87,27 @@ def same_bytes(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
 def dedup(docs: DataFrame, is_base, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deduplicate docs, of which the rows where is_base holds form the snapshot and the others the batch.
 
-    Returns per row: doc_id, keep_id (the largest id of its equal texts), group_size, kept, text_sha256. Ids are unique.
+    Returns per row: doc_id, keep_id (the largest id of its equal texts), group_size, kept, text_sha256.
     """
     hashed = materialize(digests(docs, id_col, text_col).withColumn("base", F.coalesce(is_base(F.col("doc_id")), F.lit(False))), "digests")
     base = snapshot(hashed.where("base"))
     batch = materialize(screen(groups_of(hashed.where("not base")), base), "screened")
     buckets = batch.where("maybe").join(base.groups.select("sha", F.col("keep").alias("base_keep")), "sha").select("sha", "keep", "base_keep")
-    checked = materialize(same_bytes(materialize(buckets, "pairs"), docs, id_col, text_col).select("sha", "same"), "checked")
+    # an id may have several texts, so a row is known by its id and its digest
+    row = lambda i: F.struct(F.col(i).alias("id"), F.col("sha")).alias(i)
+    known = digests(docs, id_col, text_col, F.col(text_col).alias("text")).select(row("doc_id"), "text")
+    pairs = materialize(buckets.select("sha", row("keep"), row("base_keep")), "pairs")
+    checked = materialize(same_bytes(pairs, known).select("sha", "same"), "checked")
     # a batch group whose digest meets other bytes in the snapshot stays a class of its own
     apart = batch.join(checked.where("not same").select("sha"), "sha", "left_semi").select("sha", "n", "keep").withColumn("apart", F.lit(True))
     joined = batch.join(checked.where("not same").select("sha"), "sha", "left_anti").select("sha", "n", "keep")
     classes = joined.unionByName(base.groups).groupBy("sha").agg(F.sum("n").alias("n"), F.max("keep").alias("keep")).withColumn("apart", F.lit(False)).unionByName(apart)
     classes = materialize(classes, "classes")
     total = hashed.count()
-    clash = F.broadcast(checked.where("not same").select("sha"))  # digest collisions of SHA-256
-    rows = hashed.join(clash, "sha", "left_semi").withColumn("apart", ~F.col("base")).unionByName(hashed.join(clash, "sha", "left_anti").withColumn("apart", F.lit(False)))
+    clash = checked.where("not same").select("sha")  # digest collisions of SHA-256: none, as a rule
+    rows = hashed.withColumn("apart", F.lit(False))
+    if clash.take(1):
+        rows = hashed.join(clash, "sha", "left_semi").withColumn("apart", ~F.col("base")).unionByName(hashed.join(clash, "sha", "left_anti").withColumn("apart", F.lit(False)))
     keyed = lambda df: df.withColumn("cls", F.struct("sha", "apart")).drop("sha", "apart")
     out = join_skewed(keyed(rows), keyed(classes), "cls", "n", total)
     return out.select(

@@ -6,7 +6,7 @@ count once. Rows of a key stream through a sorted partition; a large bucket is c
 gives the edges of a spanning forest, never all its pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; texts of any length
-count whole; an empty table gives an empty result; ids are unique.
+count whole; an id may have several texts, each with its own result; repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, join_skewed, materialize
+from quern.llm.common import components, join_skewed, materialize, sliced
 
 LINKED = 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -39,14 +39,15 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): text_key tells the texts of one id apart, fp is the fingerprint as a signed long."""
 
     def hashed(batches):
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        for b in sliced(batches, 1000):
+            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(hashed, "doc_id long, text_key long, fp long")
 
 
 def _masks() -> list[int]:
@@ -141,7 +142,8 @@ def links(distinct: DataFrame, close: int = LINKED) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns per row: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links lead to)."""
+    """Returns per row: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links lead to), text_key (XXH64 of
+    the text, for ids with several texts)."""
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
     joined = components(links(distinct.select("fp")))
@@ -150,4 +152,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = materialize(named.join(least, "component").select("fp", "n", "component_id"), "classes")
     out = join_skewed(rows, by_fp, "fp", "n", rows.count())
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")

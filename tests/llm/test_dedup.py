@@ -241,3 +241,10 @@ def test_suffix_runs_across_batches(spark):
         assert by_id(suffixes.dedup(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute(mixed)
 
 
+def test_exact_with_repeated_ids(spark):
+    rows = [(1, "a"), (1, "b"), (1, "a"), (2, "b"), (3, None), (3, ""), (4, "c"), (2, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (2, 1, 1000):
+        got = sorted((r["doc_id"], r["text_sha256"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(df, lambda i, share=share: i % share == 0).collect())
+        same = [[j for j, u in rows if (u or "") == (t or "")] for _, t in rows]
+        assert got == sorted((i, hashlib.sha256((t or "").encode()).hexdigest(), max(m), len(m), i == max(m)) for (i, t), m in zip(rows, same, strict=True))
