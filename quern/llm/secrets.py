@@ -5,7 +5,7 @@ ledger has a row for each blob and rule version that was ever scanned, with its
 ledger lacks, once for each blob, and joins all findings back to every path.
 
 Defined results: a null text counts as empty, an empty text has no spans; a text of any length is scanned whole; equal texts have
-equal spans; an empty table gives an empty result; ids are unique. Offsets count code points, ends are exclusive. Letters are matched in
+equal spans; an empty table gives an empty result; an id may have several texts, and each row, repeated ones too, gets the spans of its own text. Offsets count code points, ends are exclusive. Letters are matched in
 either case within ASCII only.
 """
 
@@ -58,42 +58,45 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(steps, zero, step, lambda acc: acc["out"])).otherwise(none)
 
 
-def paths_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, blob): which content each path holds."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("blob"))
+def paths_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, blob): which content each path holds; and more columns, if asked for."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("blob"), *more)
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger lacks. Returns (findings, ledger): findings has doc_id and, for each kind, an array column of
-    spans; the new ledger also holds the pairs scanned now, for the next call."""
+    """Scan what the ledger lacks. Returns (findings, ledger): findings has doc_id, blob and, for each kind, an array column of
+    spans; the new ledger is the old one and the pairs scanned now, for the next call. Of the ledger only the entries of these docs' blobs are joined
+    and grouped, and only new entries are written."""
     spark = docs.sparkSession
     paths = materialize(paths_of(docs, id_col, text_col), "paths")
     blobs = materialize(paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "blobs")
     if ledger is None:
         ledger = spark.createDataFrame([], LEDGER)
-    known = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("known"))  # at most the rules there ever were
+    seen = materialize(ledger.join(blobs.select("blob"), "blob", "left_semi"), "seen")
+    known = seen.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("known"))  # at most the rules there ever were
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     todo = blobs.join(known, "blob", "left").select("blob", "doc_id", F.array_except(wanted, F.coalesce("known", F.array().cast("array<struct<kind:string,version:int>>"))).alias("todo")).where(F.size("todo") > 0)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(todo.hint("merge"), "doc_id")
+    # an id may have several texts, so a text is reached by its id and its blob
+    texts = paths_of(docs, id_col, text_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(todo.hint("merge"), ["doc_id", "blob"])
     empty = F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")
     each = [F.when(F.array_contains(F.col("todo"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), spans_of(F.col("text"), r)).otherwise(empty).alias(r.kind) for r in rules]
     scanned = materialize(texts.select("blob", *each), "scanned")
     rows = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])).alias("x")
-    fresh = scanned.select("blob", rows).where("x.spans is not null").select("blob", "x.kind", "x.version", "x.spans")
-    grown = ledger.unionByName(fresh)
+    fresh = scanned.select("blob", rows).where("x.spans is not null").groupBy("blob", "x.kind", "x.version").agg(F.first("x.spans").alias("spans"))  # a repeated row was scanned as often
+    fresh = materialize(fresh, "ledger")
     now = [F.max(F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.col("spans"))).alias(r.kind) for r in rules]
-    by_blob = grown.groupBy("blob").agg(*now).join(blobs.select("blob", "n"), "blob")
-    return join_skewed(paths, by_blob, "blob", "n", paths.count()).drop("blob", "n"), grown
+    by_blob = materialize(seen.unionByName(fresh).groupBy("blob").agg(*now).join(blobs.select("blob", "n"), "blob"), "found")
+    return join_skewed(paths, by_blob, "blob", "n", paths.count(), wide=True).drop("n"), ledger.unionByName(fresh)
 
 
 def scan_history(docs: DataFrame, increments: int = 2, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Scan docs as they grow in so many increments: each scan gets the ledger that the one before wrote to the shared folder. Returns the
-    findings of all docs and the last ledger."""
-    ledger = None
+    """Scan docs as they come in so many increments: each scan gets the new docs and the ledger that the ones before wrote to the shared
+    folder. Returns the findings of all docs and the last ledger."""
+    findings = ledger = None
     for k in range(increments):
-        there = docs.where(F.pmod(F.xxhash64(id_col), F.lit(increments)) <= k)
-        findings, grown = scan(there, ledger, rules, id_col, text_col)
-        ledger = materialize(grown, "ledger")
+        came = docs.where(F.pmod(F.xxhash64(id_col), F.lit(increments)) == k)
+        found, ledger = scan(came, ledger, rules, id_col, text_col)
+        findings = found if findings is None else findings.unionByName(found)
     return findings, ledger
 
 
@@ -109,9 +112,9 @@ def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def hits(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, hits) of the documents that have any: the spans of all kinds, sorted."""
+    """(doc_id, blob, hits) of the documents that have any, each once: the spans of all kinds, sorted."""
     every = F.array_sort(F.concat(*[F.coalesce(F.col(r.kind), F.array().cast("array<struct<start:bigint,stop:bigint>>")) for r in rules]))
-    return findings.select("doc_id", every.alias("hits")).where(F.size("hits") > 0)
+    return findings.select("doc_id", "blob", every.alias("hits")).where(F.size("hits") > 0).groupBy("doc_id", "blob").agg(F.first("hits").alias("hits"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:

@@ -10,7 +10,7 @@ from conftest_llm import by_id
 from pyspark.sql import functions as F
 
 from quern.llm import gif, language, secrets, toxicity
-from quern.llm.ftrl import Ftrl, softmax, temperature
+from quern.llm.ftrl import Ftrl, loss, softmax, temperature
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 TRICKY = ["token:token:abcdefgh", "TOKEN = 'abc' secret:\"s3cr3t-x\" é password:12345", "🎉🎉 api_key=ABCDEFGH AKIA" + "Z" * 16 + " akia", "AKIA" + "Q" * 15, "0" * 24 + "x" + "f" * 23 + " token=" + "a1" * 20, "passwdpasswd=\x20\x20=abc", None, "", "x" * 100_000 + "secret=abcdef"]
@@ -222,3 +222,63 @@ def test_secrets_query_passes_its_ledger_on(spark, tmp_path, monkeypatch):
     findings, grown = scan(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == sorted(map(tuple, secrets.report(findings).collect()))
     assert len(seen) == 2 and seen[0][0] == 0 < seen[1][0] == seen[0][1] and seen[1][1] == grown.count()
+
+
+def test_secrets_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh"), (1, "clean"), (2, "clean"), (1, "token=abcdefgh"), (3, "token=abcdefgh")], "doc_id long, text string")
+    for rows, ledger in (secrets.scan(df), secrets.scan_history(df, 3)):
+        got = sorted((r["doc_id"], r["spans"]) for r in secrets.report(rows).collect())
+        assert got == [(1, ""), (1, "assign:0:14"), (1, "assign:0:14"), (2, ""), (3, "assign:0:14")]
+        assert ledger.count() == 6
+
+
+def test_languages_of_equal_texts(spark):
+    """The same text in batches of any size, and beside any others."""
+    rng = np.random.default_rng(5)
+    model = language.Model(["a", "b", "c"], rng.random(1 << language.BITS), rng.normal(size=(1 << language.BITS, 3)), rng.normal(size=3), 0.7)
+    texts = ["".join(rng.choice(list("abc é"), 300)) for _ in range(9)]
+    rows = spark.createDataFrame([(i, texts[i % 9] if i % 4 else texts[0]) for i in range(700)], "doc_id long, text string").repartition(7)
+    seen = {}
+    for r in rows.join(language.predict(rows, model), "doc_id").collect():
+        seen.setdefault(r["text"], set()).add((r["lang_pred"], r["score"]))
+    assert all(len(x) == 1 for x in seen.values())
+
+
+def test_tf_idf_and_one_step_by_hand():
+    """Against plain loops: n-gram features, TF-IDF, and one step of follow-the-regularised-leader."""
+    idf = np.linspace(0.5, 2, 1 << language.BITS)
+    for text in ("a", "Ab ab", "é" * 5, "x y z " * 40):
+        marks = [ord(c) for c in f" {text.lower()} "]
+        seen = {}
+        odd = [int(x) for x in language._ODD]
+        for n in (1, 2, 3):
+            for i in range(len(marks) - n + 1):
+                h = marks[i] * odd[0] & 0xFFFFFFFF
+                for k in range(1, n):
+                    h = (h * odd[k] + marks[i + k] * odd[0]) & 0xFFFFFFFF
+                h = (h ^ h >> 15) * odd[2] & 0xFFFFFFFF
+                seen[h >> 32 - language.BITS] = seen.get(h >> 32 - language.BITS, 0) + 1
+        at, x = language.vector(text, idf)
+        raw = {f: np.log(1 + c) * idf[f] for f, c in seen.items()}
+        length = np.sqrt(sum(v * v for v in raw.values()))
+        assert at.tolist() == sorted(raw) and np.allclose(x, [raw[f] / length for f in sorted(raw)])
+    learner = Ftrl(3, 2, alpha=0.5, beta=1.0, l1=0.01, l2=0.1)
+    learner.learn(np.array([0, 2]), np.array([1.0, 2.0]), 1)
+    for f, v in ((0, 1.0), (2, 2.0)):
+        for c in (0, 1):
+            g = v * (0.5 - (c == 1))  # all weights are zero, so both classes have a half
+            assert np.isclose(learner.z[f, c], g) and np.isclose(learner.n[f, c], g * g)
+            want = -(g - np.sign(g) * 0.01) / ((1 + abs(g)) / 0.5 + 0.1)
+            assert np.isclose(learner.weights()[f, c], want)
+    assert not learner.z[1].any()
+
+
+def test_temperature_lies_inside_its_range():
+    rng = np.random.default_rng(2)
+    for scale in (1e-3, 1, 1e3):  # every example is told right, as good as surely
+        y = rng.integers(0, 3, 400)
+        logits = np.eye(3)[y] * scale * 5 + rng.normal(size=(400, 3)) * scale * 0.1
+        heat = temperature(logits, y)
+        assert all(loss(logits, y, heat) <= loss(logits, y, heat * f) + 1e-12 for f in (0.5, 0.99, 1.01, 2))
+        assert 0.9 < softmax(logits / heat).max(1).mean() < 1 - 1e-4
+    assert temperature(np.zeros((5, 3)), np.zeros(5, int)) == 1
