@@ -5,6 +5,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest_llm import prose
+from pyspark.sql import functions as F
 from test_bpe_and_packing import ids_of
 from test_dedup import closed
 from test_scans_and_models import spans
@@ -67,3 +68,22 @@ def test_run(spark, folder):
 def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark, folder, tmp_path):
+    """Columns named like the stages' own, ids with several texts, rows that occur twice."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    twice = docs.where("doc_id in (3, 7, 86)").unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(86).cast("long")))
+    names = ["lang_pred", "lang_score", "hits", "blob", "sha", "key", "at", "text_sha256", "component_id", "text_key", "kept", "n"]
+    rows = docs.unionByName(twice).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    out = corpus_pipeline.STAGES[0][1](spark, rows, folder)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, corpus_pipeline.materialize(out, "test"), folder)
+    assert out.columns == rows.columns
+    got = [(r["doc_id"], r["text"], r["hits"], r["n"]) for r in out.collect()]
+    assert len(got) == len(set(got)) and all(g[2:] == (2, 11) for g in got)
+    by_text = {t: i for i, t, *_ in got}
+    plain = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert by_text[plain[9]] == 86 and by_text["[secret] " + plain[7]] == 86 and by_text[plain[7]] == 7  # the id 86 has two texts, and each is judged by itself
+    packed = corpus_pipeline.STAGES[-1][1](spark, rows, folder)
+    assert packed.where("doc_id = 86 and start = 0").count() == 3
