@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.session import Session
+from quern.types import Type
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -52,7 +53,7 @@ def add(name: str, script: str, oracle: str | None = None, digits: int = 4) -> N
 # scans, filters, projections
 add("table_scan", "SELECT r_regionkey, r_name FROM region", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 add("scan_star_alias", "SELECT n.* FROM nation n WHERE n.n_regionkey = 2", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey = 2")
-add("project_expr", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM lineitem", 2)
+add("project_expr", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge FROM lineitem", 6)
 add("filter_and_or_not", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 200000) AND NOT o_custkey < 100")
 add("alias_reference", "SELECT l_orderkey AS k, l_quantity * 2 AS twice, twice + 1 AS more FROM lineitem WHERE twice > 90", "SELECT l_orderkey AS k, l_quantity * 2 AS twice, l_quantity * 2 + 1 AS more FROM lineitem WHERE l_quantity * 2 > 90")
 add("index_point", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7", "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders WHERE o_orderkey = 7")
@@ -102,13 +103,12 @@ add("index_nl_range", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a
 add("equi_residual", "SELECT o_orderkey, l_linenumber FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate > o_orderdate AND l_extendedprice > o_totalprice / 2", "SELECT o_orderkey, l_linenumber::BIGINT AS l_linenumber FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate > o_orderdate AND l_extendedprice > o_totalprice / 2")
 add("multi_key", "SELECT a.l_orderkey AS k, a.l_linenumber AS n FROM lineitem a, lineitem b WHERE a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1", "SELECT a.l_orderkey AS k, a.l_linenumber::BIGINT AS n FROM lineitem a, lineitem b WHERE a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1")
 add("cast_key", "SELECT l_orderkey, p_partkey FROM lineitem, part WHERE l_quantity = p_size AND l_partkey = p_partkey")
-add("self_join", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a, customer b WHERE a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey AND a.c_acctbal > 9000 AND b.c_acctbal > 9000")
+add("self_join", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a, customer b WHERE a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey")
 add("three_way", "SELECT c_name, n_name, r_name FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA'")
 add(
     "five_way",
     "SELECT n_name, SUM(l_extendedprice * (1 - l_discount)) AS revenue FROM region, nation, customer, orders, lineitem WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND o_orderdate >= '1994-01-01' GROUP BY n_name",
-    "SELECT n_name, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM region, nation, customer, orders, lineitem WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND o_orderdate >= TIMESTAMP '1994-01-01' GROUP BY n_name",
-    2,
+    "SELECT n_name, round(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM region, nation, customer, orders, lineitem WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND o_orderdate >= TIMESTAMP '1994-01-01' GROUP BY n_name",
 )
 
 # aggregates, plain and distinct
@@ -134,8 +134,8 @@ add("order_by", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalpri
 add("dedup_sort", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderstatus", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 
 # changes and transactions
-_R = "CREATE TABLE r(a INT, b VARCHAR, c INT, PRIMARY KEY(a)); CREATE INDEX ON r(b); INSERT INTO r VALUES (6, 'six', 12), (1, 'one', 2), (2, 'two', 4), (3, 'three', 6), (4, 'four', 8); "
-add("insert_values", _R + "SELECT * FROM r", "SELECT * FROM (VALUES (6::BIGINT, 'six', 12::BIGINT), (1, 'one', 2), (2, 'two', 4), (3, 'three', 6), (4, 'four', 8)) t(a, b, c)")
+_PORTS = "CREATE TABLE ports(id INT, town VARCHAR, berths INT, PRIMARY KEY(id)); CREATE INDEX ON ports(town); INSERT INTO ports VALUES (40, 'Bergen', 31), (7, 'Cork', 9), (12, 'Porto', 17 + 3); INSERT INTO ports VALUES (23, 'Gdansk', 44); "
+add("insert_values", _PORTS + "SELECT * FROM ports", "SELECT * FROM (VALUES (40::BIGINT, 'Bergen', 31::BIGINT), (7, 'Cork', 9), (12, 'Porto', 20), (23, 'Gdansk', 44)) t(id, town, berths)")
 add("insert_select", "CREATE TABLE t(k INT, x FLOAT, s VARCHAR); INSERT INTO t (SELECT n_nationkey, n_regionkey, n_name FROM nation); INSERT INTO t (SELECT k + 100, x, s FROM t WHERE x = 1); SELECT * FROM t", "WITH t AS (SELECT n_nationkey::BIGINT AS k, n_regionkey::DOUBLE AS x, n_name AS s FROM nation) SELECT * FROM t UNION ALL SELECT k + 100, x, s FROM t WHERE x = 1")
 add("delete_where", "DELETE FROM supplier WHERE s_acctbal < 0 OR s_nationkey = 3; SELECT s_suppkey, s_name FROM supplier", "SELECT s_suppkey, s_name FROM supplier WHERE NOT (s_acctbal < 0 OR s_nationkey = 3)")
 add("rollback", "SET AUTOCOMMIT OFF; DELETE FROM region; ROLLBACK; SELECT r_name FROM region", "SELECT r_name FROM region")
@@ -150,10 +150,17 @@ def _show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per column whether its statistics hold: rows exact, distinct values estimated within a fifth of their number and no more than rows."""
     s = session(spark, sf_dir, "orders lineitem")
     s.run("ANALYZE")
-    rows = [(t, x.rows, c, d) for t, x in s.catalog.stats.items() for c, d in x.distinct.items()]
-    return spark.createDataFrame(rows, "table_name string, row_count long, column_name string, distinct_estimate long")
+    found = []
+    for t, x in s.catalog.stats.items():
+        df = s.catalog.table(t).df
+        exact = df.agg(F.count(F.lit(1)).alias("rows"), *[F.countDistinct(F.col(c)).alias(f"d_{c}") for c in x.distinct]).first()
+        for c, d in x.distinct.items():
+            want = exact[f"d_{c}"] if s.catalog.table(t).types[c] is not Type.DATETIME else exact["rows"]
+            found.append((t, c, x.rows, bool(abs(d - want) <= 0.2 * want), bool(1 <= d <= max(1, x.rows))))
+    return spark.createDataFrame(found, "table_name string, column_name string, row_count long, near boolean, in_range boolean")
 
 
 def _analyze_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,4 +171,5 @@ def _analyze_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"show_tables": _show_tables, "analyze_stats": _analyze, "analyze_rows": _analyze_rows}
 ORACLE["show_tables"] = "SELECT * FROM (VALUES ('nation', 1::BIGINT, 'n_nationkey', 'INTEGER', ''), ('nation', 2, 'n_name', 'VARCHAR', ''), ('nation', 3, 'n_regionkey', 'INTEGER', ''), ('r', 1, 'a', 'INTEGER', 'pk'), ('r', 2, 'b', 'VARCHAR', 'sk'), ('region', 1, 'r_regionkey', 'INTEGER', ''), ('region', 2, 'r_name', 'VARCHAR', '')) t(table_name, position, column_name, type, role)"
+ORACLE["analyze_stats"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, c AS column_name, (SELECT count(*) FROM {t}) AS row_count, TRUE AS near, TRUE AS in_range FROM (SELECT unnest({cols}) AS c)" for t, cols in (("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]), ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])))
 ORACLE["analyze_rows"] = "SELECT 'orders' AS table_name, count(*) AS row_count FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'nation', count(*) FROM nation"
