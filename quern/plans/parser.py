@@ -30,7 +30,7 @@ def tokens(sql: str) -> list[Token]:
     out, at = [], 0
     while at < len(sql):
         m = _TOKEN.match(sql, at)
-        if not m:
+        if not m or (m[0] == "/" and sql.startswith("/*", at)):  # a comment that doesn't end
             raise EngineError(f"can't read {sql[at : at + 20]!r}")
         kind, text = m.lastgroup or "", m[0]
         if kind == "string":
@@ -234,8 +234,6 @@ class Parser:
             return Literal(True)
         if self.take("false"):
             return Literal(False)
-        if self.take("distinct"):  # as in MIN(DISTINCT(x))
-            return self.primary()
         if t.kind == "name" and t.text in ("null", "case", "exists", "interval"):
             raise EngineError(f"{t.text.upper()} isn't supported")
         if self.take("cast", "("):

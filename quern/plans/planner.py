@@ -15,7 +15,8 @@ from quern.plans.expr import Expr, conjuncts
 @dataclass
 class Options:
     """planner: baseline joins in FROM order under the conditions that apply so far; naive crosses all tables, then filters. Both have the same
-    result. Where join strategies are switched off, equi-joins get a hint for one that is left; with all on, the optimizer chooses."""
+    result. Where join strategies are switched off, equi-joins get a hint for one that is left; with all on, the optimizer chooses. index_join also covers
+    range joins by bins; off, these are nested loops."""
 
     planner: str = "baseline"
     index_join: bool = True
@@ -33,8 +34,8 @@ class Options:
 
 def joined(block: Block, options: Options) -> tuple[DataFrame, R.Known]:
     (alias, table), *others = block.tables
-    df, known = R.scan(alias, table)
     pending = conjuncts(block.where)
+    df, known = R.scan(alias, table, [c for c in pending if c.tables == {alias}] if options.planner != "naive" else [])
     if options.planner == "naive":
         for alias, table in others:
             right, more = R.scan(alias, table)
@@ -46,13 +47,17 @@ def joined(block: Block, options: Options) -> tuple[DataFrame, R.Known]:
         df = R.select_rows(df, c, known)
     pending = [c for c in pending if not c.tables <= seen]
     for alias, table in others:
-        right, more = R.scan(alias, table)
-        known = known | more
         own = [c for c in pending if c.tables == {alias}]
+        right, more = R.scan(alias, table, own)
+        known = known | more
         for c in own:
             right = R.select_rows(right, c, known)
         now = [c for c in pending if c.tables <= seen | {alias} and c not in own]
-        df = R.join(df, right, now, known, options.hint(any(R.equi(c, seen, alias) for c in now)))
+        equi = any(R.equi(c, seen, alias) for c in now)
+        if options.index_join and not equi and (bounds := R.between(now, seen, alias)):
+            df = R.range_join(df, right, now, known, bounds)
+        else:
+            df = R.join(df, right, now, known, options.hint(equi))
         seen.add(alias)
         pending = [c for c in pending if not c.tables <= seen]
     return df, known

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern import stats
+from quern import profile, stats
 from quern.functions import scalar
 from quern.plans import expr as X
 from quern.plans import parser as P
@@ -56,6 +56,17 @@ class Session:
             raise EngineError(r.error or "not a query")
         return r.df
 
+    def explain(self, text: str) -> str:
+        """One SELECT's estimated rows and bytes step by step, from the statistics that ANALYZE gathered, and its physical plan."""
+        (s,) = P.parse(text)
+        block = analyze(s, self.catalog)
+        physical = self.spark._jvm.PythonSQLUtils.explainString(plan(block, self.options)._jdf.queryExecution(), "formatted")
+        return "\n".join([*stats.told(block, self.catalog.stats), physical])
+
+    def profile(self, text: str) -> list[tuple[int, str, dict[str, int]]]:
+        """Run one SELECT and return (depth, operator, metrics) for each operator of the plan that ran, as measured: rows, bytes, times."""
+        return profile.measured(self.sql(text))
+
     def run(self, text: str) -> list[Response]:
         """Every statement of a script, one after another. A script that can't be parsed runs nothing and raises."""
         return [self.execute(s) for s in P.parse(text)]
@@ -66,6 +77,8 @@ class Session:
         before = dict(self.catalog.tables), dict(self.catalog.stats)
         try:
             out = self._dispatch(s)
+            if self.autocommit and isinstance(s, (P.CreateTable, P.CreateIndex, P.Insert, P.Delete, P.Analyze)):
+                self.catalog.commit()
         except Exception as e:  # any failure of a statement rolls that statement back
             self.catalog.tables, self.catalog.stats = before
             return Response("ROLLED BACK", error=str(e))
@@ -92,7 +105,7 @@ class Session:
                 block = analyze(s, self.catalog)
                 df = plan(block, self.options)
                 if self.debug:
-                    log.info("%s", df._jdf.queryExecution().toString())
+                    log.info("%s", "\n".join([*stats.told(block, self.catalog.stats), df._jdf.queryExecution().toString()]))
                 return Response("SELECT", df)
             case P.ShowTables():
                 lines = [t.described() for _, t in sorted(self.catalog.tables.items())]
@@ -102,6 +115,7 @@ class Session:
             case P.Commit():
                 if self.open is None:
                     raise EngineError("no transaction to COMMIT")
+                self.catalog.commit()
                 self.open = None
                 return Response("COMMIT")
             case P.Rollback():
@@ -161,60 +175,66 @@ class Session:
             raise EngineError(f"an index on {name}({column}) exists")
         if t.types[column] not in (Type.INTEGER, Type.VARCHAR):
             raise EngineError("a key is INTEGER or VARCHAR")
-        self.catalog.put(replace(t, indexes=(*t.indexes, column)))
-        return Response(f"CREATE INDEX {t.df.count()}")
+        self.catalog.index(t, column)
+        return Response("CREATE INDEX")
 
     # changes
 
     def _insert(self, s: P.Insert) -> Response:
         t = self.catalog.table(s.table)
         if s.rows is not None:
-            new = self.catalog.literal([self._row(t, i, r) for i, r in enumerate(s.rows, 1)], t.types)
-        else:
-            assert s.select is not None
-            block = analyze(s.select, self.catalog)
-            if len(block.items) != len(t.types):
-                raise EngineError(f"{len(block.items)} columns supplied, {len(t.types)} expected")
-            for (e, _), (c, k) in zip(block.items, t.types.items(), strict=True):
-                if not e.type.implicit(k):
-                    raise EngineError(f"{c} needs {k.value}, not {e.type.value}" + ("; an explicit CAST would do" if e.type.explicit(k) else ""))
-            df = plan(replace(block, items=[(e, f"in{i}") for i, (e, _) in enumerate(block.items)]), self.options)
-            # the plan reads the old versions, which never change, so a table can be inserted into itself
-            new = df.select(*[scalar.cast(F.col(f"in{i}"), e.type, k).alias(c) for i, ((e, _), (c, k)) in enumerate(zip(block.items, t.types.items(), strict=True))])
-        if t.key is not None:
-            self._unique(t, new)
+            rows = self._constants(t, s.rows)
+            return Response(f"INSERT {self.catalog.append(t, self.catalog.literal(rows, t.types), rows)}")
+        assert s.select is not None
+        block = analyze(s.select, self.catalog)
+        if len(block.items) != len(t.types):
+            raise EngineError(f"{len(block.items)} columns supplied, {len(t.types)} expected")
+        for (e, _), (c, k) in zip(block.items, t.types.items(), strict=True):
+            if not e.type.implicit(k):
+                raise EngineError(f"{c} needs {k.value}, not {e.type.value}" + ("; an explicit CAST would do" if e.type.explicit(k) else ""))
+        df = plan(replace(block, items=[(e, f"in{i}") for i, (e, _) in enumerate(block.items)]), self.options)
+        # the plan reads the old versions, which never change, so a table can be inserted into itself
+        new = df.select(*[scalar.cast(F.col(f"in{i}"), e.type, k).alias(c) for i, ((e, _), (c, k)) in enumerate(zip(block.items, t.types.items(), strict=True))])
         return Response(f"INSERT {self.catalog.append(t, new)}")
 
-    def _row(self, t: Table, i: int, row: list) -> tuple:
-        if len(row) != len(t.types):
-            raise EngineError(f"row {i} of VALUES: {len(row)} columns, {len(t.types)} expected")
-        out = []
-        for e, (c, k) in zip(row, t.types.items(), strict=True):
-            typed = Scope([]).typed(e)
-            if not typed.type.explicit(k):
-                raise EngineError(f"row {i} of VALUES, {c}: {typed.type.value} isn't compatible with {k.value}")
-            out.append(self._value(X.cast(typed, k) if typed.type is not k else typed))
-        return tuple(out)
-
-    def _value(self, e: X.Expr):
-        """A constant's value. Plain literals don't need a job."""
+    def _constants(self, t: Table, rows: list[list]) -> list[tuple]:
+        """The values of a VALUES list. Plain literals need no job; all other constants of the statement are computed in one."""
+        out: list[list] = []
+        open_: list[tuple[int, int, X.Expr]] = []
+        for i, row in enumerate(rows, 1):
+            if len(row) != len(t.types):
+                raise EngineError(f"row {i} of VALUES: {len(row)} columns, {len(t.types)} expected")
+            mine: list = []
+            for j, (e, (c, k)) in enumerate(zip(row, t.types.items(), strict=True)):
+                typed = Scope([]).typed(e)
+                if not typed.type.explicit(k):
+                    raise EngineError(f"row {i} of VALUES, {c}: {typed.type.value} isn't compatible with {k.value}")
+                typed = X.cast(typed, k) if typed.type is not k else typed
+                plain, value = self._plain(typed)
+                mine.append(value)
+                if not plain:
+                    open_.append((i - 1, j, typed))
+            out.append(mine)
+        if open_:
+            found = self.spark.range(1).select(*[X.to_column(e, {}).alias(f"v{n}") for n, (_, _, e) in enumerate(open_)]).first()
+            for n, (i, j, _) in enumerate(open_):
+                out[i][j] = found[f"v{n}"]
+        return [tuple(r) for r in out]
+
+    def _plain(self, e: X.Expr) -> tuple[bool, object]:
+        """Whether e is a literal, as it stands or cast, and its value."""
         if e.op == "lit":
-            return e.value
+            return True, e.value
         if e.op == "cast" and e.args[0].op == "lit":
             v, source = e.args[0].value, e.args[0].type
             match e.type:
                 case Type.INTEGER | Type.FLOAT:
-                    return int(v) if e.type is Type.INTEGER else float(v)
+                    return True, int(v) if e.type is Type.INTEGER else float(v)
                 case Type.DATETIME:
-                    return X.parse_datetime(v)
+                    return True, X.parse_datetime(v)
                 case Type.VARCHAR if source is not Type.DATETIME:
-                    return str(v)
-        return self.spark.range(1).select(X.to_column(e, {}).alias("v")).first()["v"]
-
-    def _unique(self, t: Table, new: DataFrame) -> None:
-        key = F.col(f"`{t.key}`")
-        if not new.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() or not new.select(key).join(t.df.select(key), t.key, "left_semi").isEmpty():
-            raise EngineError("primary key constraint violation")
+                    return True, str(v)
+        return False, None
 
     def _delete(self, name: str, where) -> Response:
         t = self.catalog.table(name)
@@ -227,10 +247,7 @@ class Session:
             gone = F.coalesce(X.to_column(block.where, known), F.lit(False))
         else:
             gone = F.lit(True)
-        n = t.df.where(gone).count()
-        if n:
-            self.catalog.rewrite(t, t.df.where(~gone) if where is not None else self.spark.createDataFrame([], t.df.schema))
-        return Response(f"DELETE {n}")
+        return Response(f"DELETE {self.catalog.delete(t, gone)}")
 
     # options
 

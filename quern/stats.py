@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
@@ -13,19 +13,28 @@ from quern.types import Type
 
 @dataclass(frozen=True)
 class Stats:
-    """distinct: for each column the approximate number of distinct values, from 1 to rows; types without a sketch count as all distinct."""
+    """distinct: for each column the approximate number of distinct values, from 1 to rows; types without a sketch count as all distinct. width: mean bytes
+    of each column's values."""
 
     rows: int
     distinct: dict[str, int]
+    width: dict[str, float] = field(default_factory=dict)
+
+    def row_bytes(self, columns) -> float:
+        return sum(self.width.get(c, 8.0) for c in columns)
 
 
 def gather(table: Table) -> Stats:
     """One pass over the table."""
     sketched = [c for c, t in table.types.items() if t in (Type.INTEGER, Type.FLOAT, Type.VARCHAR)]
-    row = table.df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(sketched)]).first()
+    texts = [c for c, t in table.types.items() if t is Type.VARCHAR]
+    distinct = [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(sketched)]
+    widths = [F.avg(F.octet_length(F.col(f"`{c}`"))).alias(f"w{i}") for i, c in enumerate(texts)]
+    row = table.df.agg(F.count(F.lit(1)).alias("n"), *distinct, *widths).first()
     n = row["n"]
     found = {c: row[f"d{i}"] for i, c in enumerate(sketched)}
-    return Stats(n, {c: max(1, min(found.get(c, n), n)) for c in table.types})
+    width = {c: 1.0 if t is Type.BOOLEAN else 8.0 for c, t in table.types.items()} | {c: float(row[f"w{i}"] or 0) for i, c in enumerate(texts)}
+    return Stats(n, {c: max(1, min(found.get(c, n), n)) for c in table.types}, width)
 
 
 def selectivity(condition: Expr | None, stats: dict[str, Stats]) -> float:
@@ -60,3 +69,35 @@ def groups(keys: list[Expr], stats: dict[str, Stats], rows: int) -> int:
     for k in keys:
         n *= stats[k.value[0]].distinct[k.value[1]] if k.op == "col" and k.value[0] in stats else rows
     return max(1, min(n, rows))
+
+
+def projected(items: list[tuple[Expr, str]], stats: dict[str, Stats], rows: int) -> dict[str, int]:
+    """Estimated distinct values of each selected column, by its position: those of a plain column carry over, those of a constant are one, and
+    an expression has at most as many as its columns together; never more than rows."""
+    out = {}
+    for i, (e, _) in enumerate(items):
+        n = 1
+        for x in dict.fromkeys(x for x in e.walk() if x.op == "col"):
+            n *= stats[x.value[0]].distinct[x.value[1]] if x.value[0] in stats else max(1, rows)
+        out[i] = max(1, min(n, rows)) if not e.aggregates else max(1, rows)
+    return out
+
+
+def told(block, known: dict[str, Stats]) -> list[str]:
+    """A block's steps with estimated rows, and bytes where widths are known; a table without statistics says so."""
+    out, seen = [], {}
+    for alias, table in block.tables:
+        if table.name not in known:
+            return [f"{table.name}: no statistics; ANALYZE {table.name} gathers them"]
+        seen[alias] = known[table.name]
+        out.append(f"scan {table.name} {alias}: {seen[alias].rows} rows of {seen[alias].row_bytes(table.types):.0f} bytes")
+    rows = rows_after(block.where, seen)
+    out.append(f"join and filter: {rows} rows")
+    if block.group is not None:
+        rows = groups(block.group, seen, rows) if block.group else 1
+        out.append(f"group: {rows} rows")
+        if block.having is not None:
+            rows = max(1, round(rows * selectivity(block.having, seen)))
+            out.append(f"having: {rows} rows")
+    out.append(f"project: {rows} rows, distinct {list(projected(block.items, seen, rows).values())}")
+    return out
