@@ -125,3 +125,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         last = state
     raise RuntimeError(f"components: no end after {max_rounds} rounds")
+
+
+def renumbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(docs as (doc_id, text), names). Where every id occurs once, these are docs themselves and None. Else rows with one id and different texts are
+    documents of their own, and rows that are equal in both are one: its number, in the order of ids and, within an id, of digests, stands as doc_id, and
+    names is (doc_id, id, sha): the number, the id and the text's digest."""
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not whole.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        return whole, None
+    keyed = whole.select(F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
+    ordered = keyed.select("id", "sha").distinct().repartitionByRange("id", "sha").sortWithinPartitions("id", "sha")
+    names = materialize(ordered.select(F.monotonically_increasing_id().alias("doc_id"), "id", "sha"), "names")  # ranges ascend, so the numbers do
+    texts = keyed.join(names, ["id", "sha"]).groupBy("doc_id").agg(F.first("text").alias("text"))
+    return materialize(texts, "texts"), names

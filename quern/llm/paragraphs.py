@@ -1,9 +1,9 @@
 """Substring deduplication by paragraphs: MinHash banding, exact Jaccard checks, removal by connected components.
 
 Lines are compared with lines, and paragraphs, which are the lines between two blank ones as one text, with paragraphs, so that line breaks
-within them don't matter. Words are lower-cased and split at white space; lines and paragraphs of LEAST words (one shingle) or more count. Equal ones form
-one class at once; classes are banded by 64 minima over shingles of five words, 16 bands of 4, which finds a pair of similarity 0.8 with a
-probability over 0.9998. Classes that collide in a band are compared by the exact Jaccard similarity of their shingle sets (those of paragraphs
+within them don't matter. Words are lower-cased and split at white space; lines and paragraphs of LEAST words (one shingle) or more count. Equal ones, by a
+digest of 128 bits, form one class at once; classes are banded by 64 minima over shingles of five words, 16 bands of 4, which finds a pair of similarity
+0.8 with a probability of 0.9997. Classes that collide in a band are compared by the exact Jaccard similarity of their shingle sets (those of paragraphs
 count repeats), links of 0.8 or more are closed to components, and of each component the first member (by document, then by place) stays. Paragraphs
 are decided first; components of paragraphs of a single line each are left to the lines. Of a component of lines the first one outside
 removed paragraphs stays, if there is one.
@@ -14,280 +14,221 @@ of its words; windows don't touch lines that are removed already. The first of e
 of the others are removed, so a passage reaches exactly as far as its copies agree.
 
 Defined results: null and empty texts have no paragraph; shorter lines are removed only with their paragraph; texts of any length count whole; repeats inside
-one document count like those across documents; an empty table gives an empty result; ids are unique.
+one document count like those across documents; ties go to the smaller doc_id, then the earlier place; rows of one id with different texts are documents
+of their own, in the order of their digests; rows that occur twice are one document; an empty table gives an empty result; columns other than the id and the
+text are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, join_skewed, materialize, sliced
+from quern.llm.common import components, join_skewed, materialize, release, renumbered, sliced
 
 LEAST = 5
 #: Words of a seed, and of a passage at least.
 SEED, RUN = 6, 16
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 16, 4, 0.8
+U = np.uint64
 _RNG = np.random.default_rng(9)
-_FACTORS = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Sets classes and band keys of paragraphs apart from those of lines.
-_PARAGRAPH = np.uint64(0x5851F42D4C957F2D)
-_TURNS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
+def _odd(*shape: int) -> np.ndarray:
+    return _RNG.integers(1, 1 << 63, shape, dtype=U) * U(2) + U(1)
 
 
-_words = _Words()
+_FACTORS, _TURNS = _odd(SHINGLE), _odd(BANDS * ROWS)
+#: For a seed's hash, and the two halves of a window's digest.
+_FOR_SEEDS, _FOR_WINDOWS = _odd(SEED), _odd(2, RUN)
+#: What a character stands for, and the bases of the digests of words, and of lines and paragraphs.
+_CHARACTERS, _SPREAD, _BASE, _HALVES = _odd(0x3001), U(0x9E3779B97F4A7C15), int(_odd(1)[0]), [int(x) for x in _odd(2)]
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
 
-def paragraphs(text: str, least: int = LEAST) -> list[tuple[int, int, int, list[str]]]:
-    """(line, start, length, words) of each line that has so many words; offsets in code points."""
-    out, at = [], 0
-    for i, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * least - 1:
-            words = line.lower().split()
-            if len(words) >= least:
-                out.append((i, at, len(line), words))
-        at += len(line) + 1
-    return out
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> U(31))
+    h = h * _SPREAD
+    return h ^ (h >> U(29))
 
 
-def blocks(text: str, least: int = LEAST) -> list[tuple[int, int, int, int, list[str], list[tuple[int, int, int, int, int]]]]:
-    """(line, lines, start, length, words, parts) of what stands between blank lines and has so many words; parts has (line, start,
-    length, first word, words) of each of its lines that has so many."""
-    out, at, held, words, parts = [], 0, [], [], []
-    for i, line in enumerate([*text.split("\n"), ""]):
-        if mine := line.lower().split():
-            if len(mine) >= least:
-                parts.append((i, at, len(line), len(words), len(mine)))
-            held.append((i, at, len(line)))
-            words += mine
-        elif held:
-            if len(words) >= least:
-                out.append((held[0][0], len(held), held[0][1], held[-1][1] + held[-1][2] - held[0][1], words, parts))
-            held, words, parts = [], [], []
-        at += len(line) + 1
-    return out
+_tables: dict[int, np.ndarray] = {}
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def shingles(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lists' word shingles, one list after another, and how many each has."""
-    sizes = np.array([len(x) for x in lists])
-    w = np.fromiter((_words[x] for words in lists for x in words), np.uint64, int(sizes.sum()))
-    h = sum((w[j : len(w) - SHINGLE + 1 + j] * _FACTORS[j] for j in range(1, SHINGLE)), w[: len(w) - SHINGLE + 1] * _FACTORS[0])
-    ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes)[: len(h)] - np.arange(len(h))  # words from here to the list's end
-    return _mix(h[left >= SHINGLE]), sizes - SHINGLE + 1
-
-
-def band_keys(hashes: np.ndarray, sizes: np.ndarray, parts: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """16 keys of each part, and of each list: equal in a band only if four minima agree. sizes: shingles of each list; parts: (first, shingles) of those of each list, in order."""
-    starts, part_at, list_at, base = [], [], [], 0
-    for size, mine in zip(sizes.tolist(), parts, strict=True):
-        list_at.append(len(starts))
-        done = 0
-        for first, n in mine:
-            if first > done:
-                starts.append(base + done)
-            part_at.append(len(starts))
-            starts.append(base + first)
-            done = first + n
-        if done < size:
-            starts.append(base + done)
-        base += size
-    cuts, at, wholes = np.array(starts), np.array(part_at, np.int64), np.array(list_at)
-    of_parts, of_lists = np.zeros((BANDS, len(at)), np.uint64), np.zeros((BANDS, len(wholes)), np.uint64)
-    for k, turn in enumerate(_TURNS):
-        least = np.minimum.reduceat(_mix(hashes * turn), cuts)
-        of_parts[k // ROWS] = _mix(of_parts[k // ROWS] + least[at])
-        of_lists[k // ROWS] = _mix(of_lists[k // ROWS] + np.minimum.reduceat(least, wholes))
-    return of_parts, of_lists ^ _PARAGRAPH
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the powers from 0 to n - 1, modulo 2^64."""
+    if len(_tables.get(base, ())) < n:
+        _tables[base] = np.cumprod(np.concatenate([[U(1)], np.full(max(n, 256) * 2, base, U)]), dtype=U)
+    return _tables[base]
 
 
-def numbered(hashes: np.ndarray) -> np.ndarray:
-    """A set in which the second of equal hashes differs from the first, and so on."""
-    x = np.sort(hashes)
-    new = np.concatenate([[True], x[1:] != x[:-1]])
-    again = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return np.unique(np.where(again > 0, _mix(x + again.astype(np.uint64) * _FACTORS[2]), x))
+def _rolled(values: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """One polynomial in base for each of the parts, one after another, that have those sizes (none is empty)."""
+    if not len(sizes):
+        return np.zeros(0, U)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(values)) - np.repeat(first, sizes)
+    return np.add.reduceat(values * _powers(base, int(sizes.max()))[place], first)
 
 
-_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return c, _SPACE[np.minimum(c, 0x3001)]
 
 
-def word_starts(text: str) -> np.ndarray:
-    """Offsets of the words of text.split(), in code points, and the text's length behind them."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = _SPACE[np.minimum(c, 0x3001)]
-    return np.append(np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])), len(c))
+@dataclass
+class Read:
+    """The words of several texts, one after another. at, stop: a word's offsets among all characters; hashes: of its lower-case form; doc, line: which
+    text and which line (counted through all texts) it is in. begin: where each text begins; first_line: its first line; breaks: where each line ends."""
+
+    at: np.ndarray
+    stop: np.ndarray
+    hashes: np.ndarray
+    doc: np.ndarray
+    line: np.ndarray
+    begin: np.ndarray
+    first_line: np.ndarray
+    breaks: np.ndarray
 
+    def line_start(self, lines: np.ndarray) -> np.ndarray:
+        return np.where(lines > 0, self.breaks[np.maximum(lines, 1) - 1] + 1, 0)
 
-def _hashed(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
+def read(texts: list[str]) -> Read:
+    joined = "\n".join(texts)
+    c, blank = _characters(joined)
+    begin = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
 
-#: Factors of a seed's hash, and of the two halves of a window's digest.
-_FOR_SEEDS, _FOR_WINDOWS = _RNG.integers(1, 1 << 63, SEED, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RNG.integers(1, 1 << 63, (2, RUN), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    def ends(blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+        return edge[::2], edge[1::2]
+
+    at, stop = ends(blank)
+    lower = joined.lower()
+    low, low_blank = _characters(lower) if len(lower) != len(joined) or not lower.isascii() else (np.frombuffer(lower.encode(), np.uint8), blank)
+    sizes = stop - at if len(low) == len(c) else np.subtract(*ends(low_blank)[::-1])
+    kept = low[~low_blank]
+    values = _CHARACTERS[kept] if low.dtype == np.uint8 else np.where(kept < 0x3001, _CHARACTERS[np.minimum(kept, 0x3000)], _mix(kept * _SPREAD))
+    breaks = np.append(np.flatnonzero(c == 10), len(c))
+    return Read(at, stop, _mix(_rolled(values, sizes, _BASE)), np.searchsorted(begin, at, "right") - 1, np.searchsorted(breaks, at), begin, np.searchsorted(breaks, begin), breaks)
 
 
 def _grams(w: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Hash of each so many words in a row as there are factors."""
     n = len(factors)
+    if len(w) < n:
+        return np.zeros(0, U)
     w = _mix(w + factors[0])
     return _mix(sum((w[k : len(w) - n + 1 + k] * factors[k] for k in range(1, n)), w[: len(w) - n + 1] * factors[0]))
 
 
-def seeds(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the seeds: any RUN words in a row have one, which depends on these words alone."""
-    if len(words) < RUN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = _grams(_hashed(words), _FOR_SEEDS)
-    least = np.lib.stride_tricks.sliding_window_view(h, RUN - SEED + 1)
-    at = np.unique(np.arange(len(least)) + least.argmin(1))
-    return at, h[at]
-
-
-def _line_of(text: str, at: np.ndarray) -> np.ndarray:
-    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
-    return np.searchsorted(breaks, at)
-
-
-def windows(text: str, wanted: list[int], gone: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, 16-byte digest) of all RUN words in a row around wanted seeds that have no word in the lines gone."""
-    words = text.lower().split()
-    free = ~np.isin(_line_of(text, word_starts(text)[:-1]), gone)
-    count = np.concatenate([[0], np.cumsum(free)])
-    change = np.zeros(len(words) + 1, np.int64)
-    at = np.array(wanted)
-    np.add.at(change, np.maximum(at - (RUN - SEED), 0), 1)
-    np.add.at(change, at + 1, -1)
-    near = np.cumsum(change)[: len(words) - RUN + 1] > 0
-    first = np.flatnonzero(near & (count[RUN:] - count[:-RUN] == RUN))
-    w = _hashed(words)
-    return first, np.stack([_grams(w, factors)[first] for factors in _FOR_WINDOWS], 1)
-
-
-def runs(doc: int, text: str, found: list[dict]) -> list[tuple]:
-    """Rows of duplicates: a text's repeated windows (at, n, first_doc, first_at) joined to passages that are removed or stay."""
-    at, n, first_doc, first_at = (np.array([x[c] for x in found]) for c in ("at", "n", "first_doc", "first_at"))
-    stays = (first_doc == doc) & (first_at == at)
-    # a window that overlaps its own first copy takes only what lies behind that
-    begin = np.where((first_doc == doc) & ~stays, np.maximum(at, first_at + RUN), at)
-    starts = word_starts(text)
-    state = np.zeros(len(starts) + 1, np.int8)
-    for kind, mine in ((1, stays), (2, ~stays)):
-        change = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(change, begin[mine], 1)
-        np.add.at(change, at[mine] + RUN, -1)
-        state[np.cumsum(change) > 0] = kind
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], state])))
-    out = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if state[a]:
-            mine = np.flatnonzero((stays if state[a] == 1 else ~stays) & (begin < b) & (at + RUN > a))
-            start = int(starts[a])
-            length = len(text[start : int(starts[b])].rstrip())
-            out.append((doc, start, length, b - a, int(first_doc[mine].min()), int(n[mine].max()), bool(state[a] == 2)))
-    return out
-
-
-def passages(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Passages that repeat, outside the removed lines given as (doc_id, line), each once: same columns as ``duplicates``. Lines that stay
-    take part, so the copy that stays is chosen over lines and passages together."""
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def sown(batches):
-        for b in sliced(batches, 500):
-            out: list[list] = [[] for _ in range(4)]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, h = seeds(t.lower().split())
-                if len(at):
-                    for column, x in zip(out, (np.full(len(at), i), _line_of(t, word_starts(t)[at]), at, h.view(np.int64)), strict=True):
-                        column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["doc_id", "line", "at", "class"])
-
-    def repeated(rows: DataFrame, total: int, name: str) -> DataFrame:
-        first = F.min(F.struct("doc_id", "at")).alias("first")
-        classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first).where("n > 1"), name)
-        return join_skewed(rows, classes, "class", "n", total)
-
-    rows = materialize(whole.mapInArrow(sown, "doc_id long, line long, at long, class long"), "seeds")
-    again = materialize(repeated(rows, rows.count(), "seed-classes").drop("n", "first").join(lines.select("doc_id", "line"), ["doc_id", "line"], "left_anti"), "repeated-seeds")
-    wanted = repeated(again, again.count(), "free-classes").groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
-    gone = lines.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    around = whole.join(materialize(wanted.join(gone, "doc_id", "left"), "wanted").hint("merge"), "doc_id").select("doc_id", "text", "wanted", "gone")
-
-    def compared(batches):
-        for b in sliced(batches, 500):
-            for i, t, w, g in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                first, digests = windows(t, w, g or [])
-                if len(first):
-                    keys = pa.Array.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(np.ascontiguousarray(digests))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), i), pa.int64()), pa.array(first, pa.int64()), keys], ["doc_id", "at", "class"])
-
-    near = materialize(around.mapInArrow(compared, "doc_id long, at long, class binary"), "windows")
-    equal = repeated(near, near.count(), "window-classes").select("doc_id", F.struct("at", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")).alias("x"))
-    held = materialize(equal.groupBy("doc_id").agg(F.collect_list("x").alias("found")), "equal-windows")
-
-    def joined(batches):
-        for b in sliced(batches, 500):
-            for i, t, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                out = runs(i, t, x)
-                columns = list(zip(*out, strict=True))
-                line = _line_of(t, np.array(columns[1])) if out else []
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(line, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:6]), pa.array(columns[6])], ["doc_id", "line", "start", "length", "n_words", "class_doc_id", "class_size", "removed"])
-
-    told = whole.join(held.hint("merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(joined, "doc_id long, line long, start long, length long, n_words long, class_doc_id long, class_size long, removed boolean")
-    return told.select("doc_id", "line", "start", "length", "n_words", "class_doc_id", F.lit(None).cast("long").alias("class_line"), "class_size", "removed")
-
-
-def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(doc_id, line, lines, start, length, n_words, level, class, bands): every line (level 0) and paragraph (1), its words' digest and its band keys."""
-
-    def digest(words: list[str]) -> int:
-        return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+def _shingles(r: Read) -> np.ndarray:
+    h, n = r.hashes, len(r.hashes) - SHINGLE + 1
+    return _mix(sum((h[j : n + j] * _FACTORS[j] for j in range(1, SHINGLE)), h[:n] * _FACTORS[0])) if n > 0 else np.zeros(0, U)
+
+
+@dataclass
+class Units:
+    """Lines or paragraphs: the first word, the number of words, the first and the last line."""
+
+    first: np.ndarray
+    size: np.ndarray
+    line: np.ndarray
+    last: np.ndarray
+
+
+def units(r: Read) -> tuple[Units, Units, np.ndarray]:
+    """(lines that have words, paragraphs, the paragraph of each word)."""
+    w = len(r.at)
+    first = np.flatnonzero(np.diff(r.line, prepend=-1)) if w else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, w))
+    line = r.line[first]
+    lines = Units(first, size, line, line)
+    new = np.append(True, (np.diff(line) > 1) | (np.diff(r.doc[first]) > 0))[: len(first)]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(first)) - 1
+    whole = Units(first[head], np.diff(np.append(first[head], w)), line[head], line[tail] if len(head) else line[:0])
+    return lines, whole, np.repeat(np.arange(len(head)), whole.size)
+
+
+def band_keys(r: Read, paragraph: np.ndarray, n_lines: int, n_paragraphs: int, line_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys of each line and of each paragraph that have a shingle; equal in a band only if four minima agree, else zeros."""
+    of_lines, of_paragraphs = np.zeros((n_lines, BANDS), U), np.zeros((n_paragraphs, BANDS), U)
+    at = np.flatnonzero(paragraph[: len(paragraph) - SHINGLE + 1] == paragraph[SHINGLE - 1 :]) if len(paragraph) >= SHINGLE else np.zeros(0, np.int64)
+    if not len(at):
+        return of_lines, of_paragraphs
+    hashes = _shingles(r)[at]
+    within = r.line[at] == r.line[at + SHINGLE - 1]  # a line's own shingles; the others cross lines
+    mine = paragraph[at]
+    cuts = np.append(0, np.flatnonzero((np.diff(mine) > 0) | np.diff(within)) + 1)
+    wholes = np.append(0, np.flatnonzero(np.diff(mine[cuts])) + 1)
+    own = within[cuts]
+    line_at, paragraph_at = line_of_word[at[cuts[own]]], mine[cuts[wholes]]
+    for band in range(BANDS):
+        of_line, of_whole = np.zeros(int(own.sum()), U), np.zeros(len(wholes), U)
+        for turn in _TURNS[band * ROWS : (band + 1) * ROWS]:
+            least = np.minimum.reduceat(hashes * turn, cuts)
+            of_line = _mix(of_line + least[own])
+            of_whole = _mix(of_whole + np.minimum.reduceat(least, wholes))
+        of_lines[line_at, band] = _mix(of_line + U(2 * band + 1))
+        of_paragraphs[paragraph_at, band] = _mix(of_whole + U(2 * band + 2))
+    return of_lines, of_paragraphs
+
+
+def _binaries(columns: list[np.ndarray]) -> pa.Array:
+    """16 bytes for each row, from two halves."""
+    data = np.ascontiguousarray(np.stack(columns, 1))
+    return pa.Array.from_buffers(pa.binary(16), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _classes(r: Read, u: Units, level: int) -> list[np.ndarray]:
+    """Two halves of a digest of each unit's words; those of lines and of paragraphs differ."""
+    return [_mix(_rolled(_mix(r.hashes + U(base & 0xFFFF)), u.size, base) + U(level)) for base in _HALVES]
+
+
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, line, lines, start, length, n_words, level, class, bands): every line (level 0) and paragraph (1), its words' digest and its band keys."""
 
     def found(batches):
         for b in sliced(batches, 500):
-            parts, wholes, lists, within = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for line, lines, start, length, words, inner in blocks(t, least):
-                    wholes.append((i, line, lines, start, length, len(words), 1, digest(words) ^ int(_PARAGRAPH)))
-                    parts += [(i, k, 1, at, size, n, 0, digest(words[first : first + n])) for k, at, size, first, n in inner]
-                    lists.append(words)
-                    within.append([(first, n - SHINGLE + 1) for _, _, _, first, n in inner])
-            if not wholes:
-                continue
-            keys = np.concatenate(band_keys(*shingles(lists), within), 1).view(np.int64).T
-            every = list(zip(*(parts + wholes), strict=True))
-            columns = [pa.array(c, pa.int64()) for c in every[:7]]
-            columns.append(pa.array(np.array(every[7], np.uint64).view(np.int64)))
-            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "lines", "start", "length", "n_words", "level", "class", "bands"])
+            ids, r = b.column(0).to_numpy(), read(b.column(1).to_pylist())
+            lines, whole, paragraph = units(r)
+            line_of_word = np.repeat(np.arange(len(lines.first)), lines.size)
+            keys = band_keys(r, paragraph, len(lines.first), len(whole.first), line_of_word)
+            for level, u in enumerate((lines, whole)):
+                chosen = np.flatnonzero(u.size >= least)
+                if not len(chosen):
+                    continue
+                doc, start = r.doc[u.first[chosen]], r.line_start(u.line[chosen])
+                columns = [ids[doc], u.line[chosen] - r.first_line[doc], u.last[chosen] - u.line[chosen] + 1, start - r.begin[doc], r.breaks[u.last[chosen]] - start, u.size[chosen], np.full(len(chosen), level)]
+                k = keys[level][chosen].view(np.int64)
+                # sets of up to three shingles are similar only if they are equal, and then agree in every band
+                sizes = np.where(u.size[chosen] - SHINGLE + 1 <= 3, 1, BANDS)
+                bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(k[np.arange(BANDS) < sizes[:, None]]))
+                digests = _binaries([x[chosen] for x in _classes(r, u, level)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), digests, bands], ["doc_id", "line", "lines", "start", "length", "n_words", "level", "class", "bands"])
+
+    return docs.mapInArrow(found, "doc_id long, line long, lines long, start long, length long, n_words long, level long, class binary, bands array<long>")
+
 
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return whole.mapInArrow(found, "doc_id long, line long, lines long, start long, length long, n_words long, level long, class long, bands array<long>")
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """A set in which the second of equal hashes differs from the first, and so on."""
+    x = np.sort(hashes)
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    again = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.unique(np.where(again > 0, _mix(x + again.astype(U) * _FACTORS[2]), x))
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
+def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple]:
     """Edges that join what is linked in a bucket: a search that compares each reached set with those not yet reached."""
     sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(ids[0], ids[1])] if shared >= similar * (sizes.sum() - shared) - 1e-9 else []
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     left, edges = np.ones(len(sets), bool), []
     while left.any():
@@ -300,92 +241,234 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) ->
             shared = np.bincount(owner[np.isin(flat, sets[i])], minlength=len(sets))
             new = np.flatnonzero(left & (shared >= similar * (sizes + sizes[i] - shared) - 1e-9))
             left[new] = False
-            edges += [(int(ids[i]), int(ids[j])) for j in new]
+            edges += [(ids[i], ids[j]) for j in new]
             todo += new.tolist()
     return edges
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """classes: (class, level, lines, doc_id, line, bands), one row per distinct line or paragraph, with the place of one. Returns edges (a, b)."""
-    keys = classes.select("class", ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"), F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.max("counts").alias("counts")).where("n > 1 and counts").select("band", "key")
-    colliding = materialize(keys.drop("counts").join(shared, ["band", "key"]), "colliding")
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs: (doc_id, text); classes: (class, level, lines, doc_id, line, bands), one row per distinct line or paragraph, with the place of one. Returns edges (a, b)."""
+    # candidates travel under a short name of their class: if two classes share one, more is compared, and nothing is lost
+    short = F.xxhash64("class").alias("short")
+    keys = classes.select(short, ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"), F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("counts").alias("counts")).where("n > 1 and counts").select("key")
+    colliding = materialize(keys.drop("counts").join(shared, "key"), "colliding")
     # of buckets with the same members one is compared
-    same = [F.count("*"), F.min("class"), F.max("class"), F.bit_xor(F.xxhash64("class")), F.bit_xor(F.xxhash64("class", F.lit(1)))]
-    once = colliding.groupBy("band", "key").agg(*[c.alias(f"same{k}") for k, c in enumerate(same)]).groupBy(*[f"same{k}" for k in range(len(same))]).agg(F.min(F.struct("band", "key")).alias("at"))
-    buckets = materialize(colliding.join(once.select("at.band", "at.key"), ["band", "key"]), "buckets")
-    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "level", "class")).alias("wanted"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "doc_id").select("text", "wanted")
+    same = [F.count("*"), F.min("short"), F.max("short"), F.bit_xor("short"), F.bit_xor(F.xxhash64("short")), F.sum(F.shiftright(F.xxhash64("short", F.lit(1)), 24))]
+    once = colliding.groupBy("key").agg(*[c.alias(f"same{k}") for k, c in enumerate(same)]).groupBy(*[f"same{k}" for k in range(len(same))]).agg(F.min("key").alias("key"))
+    buckets = materialize(colliding.join(once.select("key"), "key"), "buckets")
+    wanted = classes.withColumn("short", short).join(buckets.select("short").distinct(), "short", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "level", "class")).alias("wanted"))
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("text", "wanted")
 
     def sets_of(batches):
         for b in sliced(batches, 500):
-            ids, lists, levels = [], [], []
-            for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by_place = {(x["level"], x["line"]): x["class"] for x in w}
-                found = [(0, x[0], x[3]) for x in paragraphs(t, least)] + [(1, x[0], x[4]) for x in blocks(t, least)]
-                for level, line, words in found:
-                    if (level, line) in by_place:
-                        ids.append(by_place[level, line])
-                        lists.append(words)
-                        levels.append(level)
-            if not ids:
-                continue
-            hashes, counts = shingles(lists)
-            sets = [(numbered(x) if level else np.unique(x)).tobytes() for x, level in zip(np.split(hashes, np.cumsum(counts)[:-1]), levels, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["class", "grams"])
-
-    grams = materialize(texts.mapInArrow(sets_of, "class long, grams binary"), "grams")
-    dealt = buckets.join(grams, "class").repartition("band", "key").sortWithinPartitions("band", "key", "class").select("band", "key", "class", "grams")
+            r = read(b.column(0).to_pylist())
+            lines, whole, paragraph = units(r)
+            grams = _shingles(r)
+            entries = b.column(1).flatten()
+            doc = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+            line, level = (entries.field(k).to_numpy() for k in (0, 1))
+            at = r.first_line[doc] + line
+            sets = []
+            for one, lev in zip(at.tolist(), level.tolist(), strict=True):
+                u = whole if lev else lines
+                k = int(np.searchsorted(u.line, one))
+                mine = grams[u.first[k] : u.first[k] + u.size[k] - SHINGLE + 1]
+                sets.append((numbered(mine) if lev else np.unique(mine)).tobytes())
+            yield pa.RecordBatch.from_arrays([entries.field(2), pa.array(sets, pa.binary())], ["class", "grams"])
+
+    grams = materialize(texts.mapInArrow(sets_of, "class binary, grams binary"), "grams")
+    dealt = buckets.join(grams.withColumn("short", short), "short").repartition("key").sortWithinPartitions("key", "class").select("key", "class", "grams")
 
     def edges(batches):
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[bytes, bytes]] = []
         last = None
 
-        def close():
-            if len(held) < 2:
-                return None
-            out = linked(np.array([h[0] for h in held]), [np.frombuffer(h[1], np.uint64) for h in held])
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"]) if out else None
+        def close(out: list) -> None:
+            if len(held) > 1:
+                names = [h[0] for h in held]
+                out += [(names[i], names[j]) for i, j in linked(np.arange(len(held)), [np.frombuffer(h[1], U) for h in held])]
+
+        def told(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
-            for band, key, cls, grams in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if last != (band, key):
-                    if (found := close()) is not None:
-                        yield found
-                    held, last = [], (band, key)
+            out: list[tuple] = []
+            for key, cls, grams in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if last != key:
+                    close(out)
+                    held, last = [], key
                 held.append((cls, grams))
-        if (found := close()) is not None:
-            yield found
+            if out:
+                yield told(out)
+        out = []
+        close(out)
+        if out:
+            yield told(out)
+
+    found = materialize(dealt.mapInArrow(edges, "a binary, b binary"), "links")
+    release(colliding, buckets, grams)
+    return found
+
+
+def seeds(r: Read) -> np.ndarray:
+    """The first words of the seeds: any RUN words in a row have one, which depends on these words alone."""
+    h = _grams(r.hashes, _FOR_SEEDS)
+    inside = r.doc[: len(r.doc) - RUN + 1] == r.doc[RUN - 1 :] if len(r.doc) >= RUN else np.zeros(0, bool)
+    if not inside.any():
+        return np.zeros(0, np.int64)
+    least = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U)  # of equal hashes the first
+    for step in (1, 2, 4):
+        least = np.minimum(least[:-step], least[step:])
+    least = np.minimum(least[: len(inside)], least[RUN - SEED + 1 - 8 : RUN - SEED + 1 - 8 + len(inside)])
+    return np.unique((least[inside] & U(0xFFFFFFFF)).astype(np.int64))
+
+
+def runs(at: np.ndarray, n: np.ndarray, first_doc: np.ndarray, name: np.ndarray, doc: int, words: int) -> list[tuple]:
+    """(first word, stop, first document, size, removed): a text's repeated windows joined to passages that are removed or stay. name: the same for equal windows."""
+    by = np.lexsort((at, name))
+    new = np.append(True, np.diff(name[by]) != 0)
+    first_at = np.empty_like(at)
+    first_at[by] = at[by][new][np.cumsum(new) - 1]  # the earliest equal window of this text
+    stays = (first_doc == doc) & (first_at == at)
+    # a window that overlaps its own first copy takes only what lies behind that
+    begin = np.where((first_doc == doc) & ~stays, np.maximum(at, first_at + RUN), at)
+    state = np.zeros(words + 1, np.int8)
+    for kind, mine in ((1, stays), (2, ~stays)):
+        change = np.zeros(words + 1, np.int64)
+        np.add.at(change, begin[mine], 1)
+        np.add.at(change, at[mine] + RUN, -1)
+        state[np.cumsum(change) > 0] = kind
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], state])))
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if state[a]:
+            mine = (stays if state[a] == 1 else ~stays) & (begin < b) & (at + RUN > a)
+            out.append((a, b, int(first_doc[mine].min()), int(n[mine].max()), bool(state[a] == 2)))
+    return out
+
 
-    return dealt.mapInArrow(edges, "a long, b long")
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A list column's values, and the row that each is in."""
+    return column.flatten(), np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
+
+
+def passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """docs: (doc_id, text). Passages that repeat, outside the removed lines given as (doc_id, line), each once: same columns as ``duplicates``. Lines that stay
+    take part, so the copy that stays is chosen over lines and passages together."""
+
+    def sown(batches):
+        for b in sliced(batches, 500):
+            ids, r = b.column(0).to_numpy(), read(b.column(1).to_pylist())
+            at = seeds(r)
+            if len(at):
+                doc, h = r.doc[at], _grams(r.hashes, _FOR_SEEDS)[at]
+                first = np.searchsorted(r.doc, doc)
+                columns = [ids[doc], r.line[at] - r.first_line[doc], at - first, h.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc_id", "line", "at", "class"])
+
+    def repeated(rows: DataFrame, total: int, name: str, *more) -> tuple[DataFrame, DataFrame]:
+        classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), *more).where("n > 1"), name)
+        return join_skewed(rows, classes, "class", "n", total), classes
+
+    rows = materialize(docs.mapInArrow(sown, "doc_id long, line long, at long, class long"), "seeds")
+    more, classes = repeated(rows, rows.count(), "seed-classes")
+    again = materialize(more.drop("n").join(lines.select("doc_id", "line"), ["doc_id", "line"], "left_anti"), "repeated-seeds")
+    release(rows, classes)
+    more, classes = repeated(again, again.count(), "free-classes")
+    wanted = more.groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
+    gone = lines.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    listed = materialize(wanted.join(gone, "doc_id", "left"), "wanted")
+    release(again, classes)
+    around = docs.join(listed.hint("merge"), "doc_id").select("doc_id", "text", "wanted", "gone")
+
+    def compared(batches):
+        for b in sliced(batches, 500):
+            ids, r = b.column(0).to_numpy(), read(b.column(1).to_pylist())
+            n = len(r.doc) - RUN + 1
+            if n <= 0:
+                continue
+            first = np.searchsorted(r.doc, np.arange(b.num_rows))
+            (at, row), (line, of) = _lists(b.column(2)), _lists(b.column(3))
+            at = at.to_numpy() + first[row]
+            removed = np.isin(r.line, r.first_line[of] + line.to_numpy())
+            change = np.zeros(len(r.doc) + 1, np.int64)
+            np.add.at(change, np.maximum(at - (RUN - SEED), first[row]), 1)
+            np.add.at(change, at + 1, -1)
+            touched = np.concatenate([[0], np.cumsum(removed)])
+            near = (np.cumsum(change)[:n] > 0) & (r.doc[:n] == r.doc[RUN - 1 :]) & (touched[RUN:] == touched[:-RUN])
+            chosen = np.flatnonzero(near)
+            if len(chosen):
+                doc = r.doc[chosen]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array((chosen - first[doc]).astype(np.int64)), _binaries([_grams(r.hashes, f)[chosen] for f in _FOR_WINDOWS])], ["doc_id", "at", "class"])
+
+    near = materialize(around.mapInArrow(compared, "doc_id long, at long, class binary"), "windows")
+    more, classes = repeated(near, near.count(), "window-classes", F.min("doc_id").alias("first_doc"))
+    equal = more.select("doc_id", F.struct("at", "n", "first_doc", F.xxhash64("class").alias("name")).alias("x"))
+    held = materialize(equal.groupBy("doc_id").agg(F.collect_list("x").alias("found")), "equal-windows")
+    release(near, classes)
+
+    def joined(batches):
+        for b in sliced(batches, 500):
+            ids, r = b.column(0).to_numpy(), read(b.column(1).to_pylist())
+            first = np.append(np.searchsorted(r.doc, np.arange(b.num_rows)), len(r.doc))
+            entries, row = _lists(b.column(2))
+            at, n, first_doc, name = (entries.field(k).to_numpy() for k in range(4))
+            edges = np.searchsorted(row, np.arange(b.num_rows + 1))
+            out: list[list] = [[] for _ in range(8)]
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                s = slice(edges[i], edges[i + 1])
+                w = int(first[i])
+                for a, z, doc, size, removed in runs(at[s], n[s], first_doc[s], name[s], int(ids[i]), int(first[i + 1]) - w):
+                    start = int(r.at[w + a])
+                    for column, x in zip(out, (int(ids[i]), int(r.line[w + a] - r.first_line[i]), start - int(r.begin[i]), int(r.stop[w + z - 1]) - start, z - a, doc, size, removed), strict=True):
+                        column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.bool_())], ["doc_id", "line", "start", "length", "n_words", "class_doc_id", "class_size", "removed"])
+
+    told = docs.join(held.hint("merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(joined, "doc_id long, line long, start long, length long, n_words long, class_doc_id long, class_size long, removed boolean")
+    return told.select("doc_id", "line", "start", "length", "n_words", "class_doc_id", F.lit(None).cast("long").alias("class_line"), "class_size", "removed")
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Every line and paragraph that has a duplicate, with its class: doc_id, line (the first one), start, length (code points), n_words, class_doc_id and
     class_line (those of the one that stays), class_size (members of the class), removed, and kind (line or paragraph). Then the passages that repeat inside other
-    paragraphs, as kind passage: their class_doc_id is the first document that has a part of them, their class_line null."""
-    rows = materialize(occurrences(docs, id_col, text_col, least), "paragraphs")
+    paragraphs, as kind passage: their class_doc_id is the first document that has a part of them, their class_line null. Last the column text_sha256: null, but
+    the digest of the text where an id has several."""
+    whole, names = renumbered(docs, id_col, text_col)
+    found = _duplicates(whole, least)
+    if names is None:
+        return found.withColumn("text_sha256", F.lit(None).cast("string"))
+    ours, others = names.select("doc_id", F.col("id").alias("own"), "sha"), names.select(F.col("doc_id").alias("class_doc_id"), F.col("id").alias("other"))
+    out = found.join(ours, "doc_id").join(others, "class_doc_id")
+    return out.select(*[{"doc_id": F.col("own").alias("doc_id"), "class_doc_id": F.col("other").alias("class_doc_id")}.get(c, F.col(c)) for c in found.columns], F.col("sha").alias("text_sha256"))
+
+
+def _duplicates(docs: DataFrame, least: int) -> DataFrame:
+    rows = materialize(occurrences(docs, least), "paragraphs")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first, F.max("level").alias("level"), F.max("lines").alias("lines"), F.min_by("bands", F.struct("doc_id", "line")).alias("bands")), "classes")
-    edges = links(docs, classes.select("class", "level", "lines", "first.doc_id", "first.line", "bands"), id_col, text_col, least)
+    # equal words have equal band keys
+    classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first, F.max("level").alias("level"), F.max("lines").alias("lines"), F.first("bands").alias("bands")), "classes")
+    edges = links(docs, classes.select("class", "level", "lines", "first.doc_id", "first.line", "bands"))
     joined = components(edges).withColumnRenamed("node", "class")
     named = materialize(classes.drop("bands").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
-    whole = named.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("first").alias("stays")).where("class_size > 1")
-    several = named.groupBy("component").agg(F.max(F.greatest("lines", 2 - F.col("level"))).alias("lines")).where("lines > 1").select("component")
-    members = materialize(named.join(whole, "component").join(several, "component", "left_semi").select("class", "n", "component", "class_size", "stays"), "members")
-    out = materialize(join_skewed(rows.drop("bands"), members, "class", "n", rows.count()), "out")
+    release(classes, edges)
+    group = named.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("first").alias("stays"), F.max(F.greatest("lines", 2 - F.col("level"))).alias("several")).where("class_size > 1 and several > 1")
+    members = materialize(named.join(group, "component").select("class", "n", "component", "class_size", "stays"), "members")
+    out = materialize(join_skewed(rows.drop("bands"), members, "class", "n", rows.count()).drop("class", "n"), "out")
+    release(rows, named, members)
     place = F.struct("doc_id", "line")
     whole_ones = out.where("level = 1").withColumn("removed", place != F.col("stays")).withColumn("kind", F.lit("paragraph"))
     gone = whole_ones.where("removed").select("doc_id", F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("line"), F.lit(True).alias("gone"))
     single = materialize(out.where("level = 0").drop("stays").join(gone, ["doc_id", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "single")
     stays = single.groupBy("component").agg(F.coalesce(F.min(F.when(~F.col("gone"), place)), F.min(place)).alias("stays"), F.count("*").alias("m"))
-    single = join_skewed(single, materialize(stays, "stays"), "component", "m", single.count())
-    single = single.withColumn("removed", F.col("gone") | (place != F.col("stays"))).withColumn("kind", F.lit("line"))
+    single_out = join_skewed(single, materialize(stays, "stays"), "component", "m", single.count())
+    single_out = single_out.withColumn("removed", F.col("gone") | (place != F.col("stays"))).withColumn("kind", F.lit("line"))
     columns = ["doc_id", "line", "start", "length", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"), "class_size", "removed", "kind"]
-    lines = materialize(single.select(*columns).unionByName(whole_ones.select(*columns)), "lines")
-    taken = lines.where("removed and kind = 'line'").select("doc_id", "line").unionByName(gone.select("doc_id", "line")).distinct()
-    found = passages(docs, materialize(taken, "taken"), id_col, text_col)
-    return lines.unionByName(found.withColumn("kind", F.lit("passage")))
+    lines = materialize(single_out.select(*columns).unionByName(whole_ones.select(*columns)), "lines")
+    taken = materialize(lines.where("removed and kind = 'line'").select("doc_id", "line").unionByName(gone.select("doc_id", "line")).distinct(), "taken")
+    release(out, single)
+    return lines.unionByName(passages(docs, taken).withColumn("kind", F.lit("passage")))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -415,9 +498,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def removed_text(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): the texts without their removed lines, paragraphs and passages."""
-    gone = found.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("gone"))
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone")
+    """(doc_id, text): the texts without their removed lines, paragraphs and passages. Where an id has several texts, each loses its own."""
+    gone = found.where("removed").groupBy("doc_id", "text_sha256").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("gone")).toDF("gone_id", "sha", "gone")
+    own = F.col("sha").isNull() | (F.col("sha") == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone.hint("merge"), (F.col("doc_id") == F.col("gone_id")) & own, "left").select("doc_id", "text", "gone")
 
     def cut(batches):
         for b in sliced(batches, 500):

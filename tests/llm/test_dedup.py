@@ -248,3 +248,35 @@ def test_exact_with_repeated_ids(spark):
         got = sorted((r["doc_id"], r["text_sha256"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(df, lambda i, share=share: i % share == 0).collect())
         same = [[j for j, u in rows if (u or "") == (t or "")] for _, t in rows]
         assert got == sorted((i, hashlib.sha256((t or "").encode()).hexdigest(), max(m), len(m), i == max(m)) for (i, t), m in zip(rows, same, strict=True))
+
+
+def test_recall_of_similar_lines(spark):
+    """Against all pairs: of pairs at 0.8, 0.85 and 0.9, lines of 5 to 60 words, nearly all are linked."""
+    rng = random.Random(12)
+    rows, pairs = [], {0.8: [], 0.85: [], 0.9: []}
+    for i in range(900):
+        words = prose(5000 + i, rng.randint(5, 60)).split()
+        rows.append((2 * i, " ".join(words)))
+        k = rng.randint(0, max(0, (len(words) - 5) // 5))
+        rows.append((2 * i + 1, " ".join([*words[: len(words) - k], *prose(9000 + i, rng.randint(0, 2)).split()])))
+    shingled = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    found = paragraphs.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'line'")
+    got = {r["doc_id"]: r["class_doc_id"] for r in found.collect()}
+    for i in range(900):
+        a, b = shingled[2 * i], shingled[2 * i + 1]
+        j = len(a & b) / len(a | b)
+        for s in pairs:
+            if s <= j < s + 0.05 or (s == 0.9 and j >= s):
+                pairs[s].append(got.get(2 * i) == got.get(2 * i + 1) == 2 * i)
+        assert j >= 0.8 or 2 * i not in got  # what is under 0.8 isn't linked
+    assert all(len(x) > 30 and sum(x) >= 0.98 * len(x) for x in pairs.values()), {s: (len(x), sum(x)) for s, x in pairs.items()}
+
+
+def test_paragraphs_of_repeated_ids(spark):
+    a, b = prose(301, 40), prose(302, 40)
+    rows = [(1, a + "\n" + b), (1, prose(303, 40)), (2, b), (1, prose(303, 40)), (3, prose(303, 40).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paragraphs.duplicates(df)
+    assert sorted((r["doc_id"], r["line"], r["class_doc_id"], r["removed"]) for r in found.where("kind = 'line'").collect()) == [(1, 0, 1, False), (1, 1, 1, False), (2, 0, 1, True), (3, 0, 1, True)]
+    left = sorted((r["doc_id"], r["text"]) for r in paragraphs.removed_text(df, found).collect())
+    assert left == sorted([(1, a + "\n" + b), (1, rows[1][1]), (2, ""), (1, rows[1][1]), (3, "")])
