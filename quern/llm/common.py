@@ -53,9 +53,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete the files of materialized tables that nothing will read again, not even a retried task."""
+    """Delete the files of materialized tables that nothing will read again, not even a retried task, and let Spark drop the shuffles behind them."""
     for t in tables:
         _delete(t.sparkSession, t.quern_path)
+    tables[0].sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of what has been collected
 
 
 def clean(spark: SparkSession) -> None:
@@ -117,7 +118,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = e.join(low, "a")
         e = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = materialize(e, "edges")
-        release(before)
+        _delete(before.sparkSession, before.quern_path)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

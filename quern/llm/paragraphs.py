@@ -190,10 +190,12 @@ def _classes(r: Read, u: Units, level: int) -> list[np.ndarray]:
     return [_mix(_rolled(_mix(r.hashes + U(base & 0xFFFF)), u.size, base) + U(level)) for base in _HALVES]
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, line, lines, start, length, n_words, level, class, bands): every line (level 0) and paragraph (1), its words' digest and its band keys."""
+def occurrences(docs: DataFrame, least: int, most: int = 300_000) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, line, lines, start, length, n_words, level, class, bands): every line (level 0) and paragraph (1), its words' digest and its band keys.
+    What a task has seen of late, up to ``most`` digests, comes without band keys, so the most common line gives its keys once for each task."""
 
     def found(batches):
+        seen: set[bytes] = set()
         for b in sliced(batches, 500):
             ids, r = b.column(0).to_numpy(), read(b.column(1).to_pylist())
             lines, whole, paragraph = units(r)
@@ -208,8 +210,14 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
                 k = keys[level][chosen].view(np.int64)
                 # sets of up to three shingles are similar only if they are equal, and then agree in every band
                 sizes = np.where(u.size[chosen] - SHINGLE + 1 <= 3, 1, BANDS)
-                bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(k[np.arange(BANDS) < sizes[:, None]]))
                 digests = _binaries([x[chosen] for x in _classes(r, u, level)])
+                if len(seen) > most:
+                    seen.clear()
+                for i, d in enumerate(digests.to_pylist()):
+                    if d in seen:
+                        sizes[i] = 0
+                    seen.add(d)
+                bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(k[np.arange(BANDS) < sizes[:, None]]))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), digests, bands], ["doc_id", "line", "lines", "start", "length", "n_words", "level", "class", "bands"])
 
     return docs.mapInArrow(found, "doc_id long, line long, lines long, start long, length long, n_words long, level long, class binary, bands array<long>")
@@ -246,18 +254,44 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) ->
     return edges
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs: (doc_id, text); classes: (class, level, lines, doc_id, line, bands), one row per distinct line or paragraph, with the place of one. Returns edges (a, b)."""
+def adjacent(batches):
+    """(key, short, counts), sorted by key and short, in a stream: what shares its key with another short, each once."""
+
+    def told(key: np.ndarray, short: np.ndarray, counts: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(short), pa.array(counts)], ["key", "short", "counts"])
+
+    held, open_ = None, False  # the last different row so far, and whether it shares its key with the one before it
+    for b in batches:
+        key, short, counts = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if held is not None:
+            key, short, counts = (np.concatenate([h, x]) for h, x in zip(held, (key, short, counts), strict=True))
+        if not len(key):
+            continue
+        new = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(short) != 0)))
+        key, short, counts = key[new], short[new], np.logical_or.reduceat(counts, new)
+        same = np.diff(key) == 0
+        shares = np.append(open_, same) | np.append(same, False)
+        if shares[:-1].any():
+            yield told(*(x[:-1][shares[:-1]] for x in (key, short, counts)))
+        open_ = bool(shares[-1])
+        held = key[-1:].copy(), short[-1:].copy(), counts[-1:].copy()
+    if open_:
+        yield told(*held)
+
+
+def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs: (doc_id, text); rows: the occurrences. Returns edges (a, b) between classes."""
     # candidates travel under a short name of their class: if two classes share one, more is compared, and nothing is lost
     short = F.xxhash64("class").alias("short")
-    keys = classes.select(short, ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"), F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("counts").alias("counts")).where("n > 1 and counts").select("key")
-    colliding = materialize(keys.drop("counts").join(shared, "key"), "colliding")
+    keys = rows.select(F.explode("bands").alias("key"), short, ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"))
+    colliding = materialize(keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(adjacent, "key long, short long, counts boolean"), "colliding")
     # of buckets with the same members one is compared
     same = [F.count("*"), F.min("short"), F.max("short"), F.bit_xor("short"), F.bit_xor(F.xxhash64("short")), F.sum(F.shiftright(F.xxhash64("short", F.lit(1)), 24))]
-    once = colliding.groupBy("key").agg(*[c.alias(f"same{k}") for k, c in enumerate(same)]).groupBy(*[f"same{k}" for k in range(len(same))]).agg(F.min("key").alias("key"))
-    buckets = materialize(colliding.join(once.select("key"), "key"), "buckets")
-    wanted = classes.withColumn("short", short).join(buckets.select("short").distinct(), "short", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "level", "class")).alias("wanted"))
+    alike = colliding.groupBy("key").agg(F.max("counts").alias("counts"), *[c.alias(f"same{k}") for k, c in enumerate(same)]).where("counts")
+    once = alike.groupBy(*[f"same{k}" for k in range(len(same))]).agg(F.min("key").alias("key"))
+    buckets = materialize(colliding.join(once.select("key"), "key").drop("counts"), "buckets")
+    places = rows.where(F.size("bands") > 0).select(short, "class", F.struct("doc_id", "line", "level").alias("place")).join(buckets.select("short").distinct(), "short", "left_semi")
+    wanted = places.groupBy("class").agg(F.min("place").alias("place")).groupBy("place.doc_id").agg(F.collect_list(F.struct("place.line", "place.level", "class")).alias("wanted"))
     texts = docs.join(wanted.hint("merge"), "doc_id").select("text", "wanted")
 
     def sets_of(batches):
@@ -446,28 +480,30 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _duplicates(docs: DataFrame, least: int) -> DataFrame:
     rows = materialize(occurrences(docs, least), "paragraphs")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    # equal words have equal band keys
-    classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), first, F.max("level").alias("level"), F.max("lines").alias("lines"), F.first("bands").alias("bands")), "classes")
-    edges = links(docs, classes.select("class", "level", "lines", "first.doc_id", "first.line", "bands"))
+    edges = links(docs, rows)
     joined = components(edges).withColumnRenamed("node", "class")
-    named = materialize(classes.drop("bands").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
-    release(classes, edges)
-    group = named.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("first").alias("stays"), F.max(F.greatest("lines", 2 - F.col("level"))).alias("several")).where("class_size > 1 and several > 1")
-    members = materialize(named.join(group, "component").select("class", "n", "component", "class_size", "stays"), "members")
+    classes = rows.groupBy("class").agg(F.count("*").alias("n"), F.max("level").alias("level"), F.max("lines").alias("lines"))
+    named = materialize(classes.join(joined, "class", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "class")), "named")
+    release(edges)
+    group = named.groupBy("component").agg(F.sum("n").alias("class_size"), F.max(F.greatest("lines", 2 - F.col("level"))).alias("several")).where("several > 1")
+    members = materialize(named.join(group, "component").select("class", "n", "component", "class_size"), "members")
     out = materialize(join_skewed(rows.drop("bands"), members, "class", "n", rows.count()).drop("class", "n"), "out")
     release(rows, named, members)
     place = F.struct("doc_id", "line")
-    whole_ones = out.where("level = 1").withColumn("removed", place != F.col("stays")).withColumn("kind", F.lit("paragraph"))
+    whole_ones = out.where("level = 1")
+    stays = materialize(whole_ones.groupBy("component").agg(F.min(place).alias("stays"), F.count("*").alias("m")), "stays")
+    whole_ones = join_skewed(whole_ones, stays, "component", "m", out.count())
+    whole_ones = materialize(whole_ones.withColumn("removed", place != F.col("stays")).withColumn("kind", F.lit("paragraph")), "wholes")
     gone = whole_ones.where("removed").select("doc_id", F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("line"), F.lit(True).alias("gone"))
-    single = materialize(out.where("level = 0").drop("stays").join(gone, ["doc_id", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "single")
-    stays = single.groupBy("component").agg(F.coalesce(F.min(F.when(~F.col("gone"), place)), F.min(place)).alias("stays"), F.count("*").alias("m"))
-    single_out = join_skewed(single, materialize(stays, "stays"), "component", "m", single.count())
+    single = materialize(out.where("level = 0").join(gone, ["doc_id", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "single")
+    firsts = single.groupBy("component").agg(F.coalesce(F.min(F.when(~F.col("gone"), place)), F.min(place)).alias("stays"), F.count("*").alias("m"))
+    firsts = materialize(firsts, "stays")
+    single_out = join_skewed(single, firsts, "component", "m", single.count())
     single_out = single_out.withColumn("removed", F.col("gone") | (place != F.col("stays"))).withColumn("kind", F.lit("line"))
     columns = ["doc_id", "line", "start", "length", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.line").alias("class_line"), "class_size", "removed", "kind"]
     lines = materialize(single_out.select(*columns).unionByName(whole_ones.select(*columns)), "lines")
     taken = materialize(lines.where("removed and kind = 'line'").select("doc_id", "line").unionByName(gone.select("doc_id", "line")).distinct(), "taken")
-    release(out, single)
+    release(out, single, whole_ones, stays, firsts)
     return lines.unionByName(passages(docs, taken).withColumn("kind", F.lit("passage")))
 
 
