@@ -12,7 +12,9 @@ A suffix sort of all positions at once would shuffle tens of times the input. Eq
    run of equal prefixes the first start in the corpus stays.
 
 Defined results: a null text counts as empty; texts under 100 bytes lose nothing; matches never cross documents; a text of any length is
-taken whole; an empty table gives an empty result; ids are unique.
+taken whole; of equal strings the one in the smaller doc_id, then at the earlier place, stays; rows of one id with different texts are documents of their own, in the
+order of their digests; rows that occur twice are one document, and each gets its result; an empty table gives an empty result; columns other than the id and
+the text are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, sliced
+from quern.llm.common import materialize, renumbered, sliced
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
@@ -299,7 +301,16 @@ def spans(packs: np.ndarray) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Returns per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining bytes."""
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole, names = renumbered(docs, id_col, text_col)
+    out = _dedup(whole, keep_text)
+    if names is None:
+        return out
+    told = materialize(out.join(names, "doc_id").drop("doc_id"), "told")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("sha"))
+    return rows.join(told, ["id", "sha"]).select(F.col("id").alias("doc_id"), *out.columns[1:])
+
+
+def _dedup(whole: DataFrame, keep_text: bool) -> DataFrame:
     found = materialize(decided(dealt(whole)), "anchors")
     open_ = found.where("not removed").groupBy("doc_id").agg(F.collect_list("packed").alias("open"))
     parts = materialize(runs(whole.join(open_.hint("merge"), "doc_id").select("doc_id", "text", "open")), "runs")

@@ -280,3 +280,22 @@ def test_paragraphs_of_repeated_ids(spark):
     assert sorted((r["doc_id"], r["line"], r["class_doc_id"], r["removed"]) for r in found.where("kind = 'line'").collect()) == [(1, 0, 1, False), (1, 1, 1, False), (2, 0, 1, True), (3, 0, 1, True)]
     left = sorted((r["doc_id"], r["text"]) for r in paragraphs.removed_text(df, found).collect())
     assert left == sorted([(1, a + "\n" + b), (1, rows[1][1]), (2, ""), (1, rows[1][1]), (3, "")])
+
+
+def test_suffixes_of_repeated_ids(spark):
+    a, b = prose(401, 30), prose(402, 30)
+    rows = [(1, a), (1, a), (1, b + a), (2, b), (3, a), (1, b + a)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted({(i, hashlib.sha256(t.encode()).hexdigest(), t) for i, t in rows})  # the different documents, in order
+    want = brute({k: t for k, (_, _, t) in enumerate(order)})
+    by_row = {(i, t): want[k] for k, (i, _, t) in enumerate(order)}
+    assert got == sorted((i, by_row[i, t][0], by_row[i, t][1], by_row[i, t][3]) for i, t in rows)
+    assert sum(g[2] for g in got) < sum(g[1] for g in got)
+
+
+def test_one_passage_among_many_neighbours(spark):
+    """A passage of 120 bytes in 3000 documents with different neighbours: each but the first loses exactly it."""
+    passage = prose(403, 30)[:120]
+    mixed = {i: f"{prose(20_000 + i, 3)} {passage} {prose(30_000 + i, 3)}" for i in range(3000)}
+    df = spark.createDataFrame(list(mixed.items()), "doc_id long, text string").repartition(4)
+    assert by_id(suffixes.dedup(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute(mixed)
