@@ -2,11 +2,12 @@
 
 The vocabulary (word_bpe_49k.json) drops white space, so nothing it does to a text reaches across a blank: the ids of a text
 are those of its blank-separated words, one after another. ``Words`` keeps the encodings of words; ``Chunks`` cuts texts where a
-rolling hash says so, encodes a chunk that many documents share once, and repairs the joins between chunks by encoding again
+rolling hash says so, encodes a chunk that documents near one another share once, and repairs the joins between chunks by encoding again
 from the last blank before the cut to the first one after it: there the outcome must agree with the whole text's.
 
 Defined results: a null text counts as empty; an empty text has no ids; a text of any length is encoded whole; special tokens
-spelled out in a text become their ids, as in the library.
+spelled out in a text become their ids, as in the library; repeated rows each get their result; an empty table gives an empty result; columns other than the
+id and the text are not read.
 """
 
 from __future__ import annotations
@@ -191,8 +192,9 @@ def _bin(text: str) -> int:
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode every text. Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids and decoded.
 
-    Documents are dealt out by their representative chunk (as in Extreme Binning; Bhagwat et al., 2009), so documents that share
-    chunks meet in one task, which encodes each of its chunks once. Adaptive execution splits a bin that is too large.
+    Documents are dealt out by their representative chunk (as in Extreme Binning; Bhagwat et al., 2009) and follow one another in its order, so documents
+    that share chunks mostly meet in one task, which remembers the chunks of late (``Chunks``). A chunk that lies in documents of different tasks, or far
+    apart in one, is encoded again there. Adaptive execution splits a bin that is too large.
     """
     path = path or vocabulary_path()
 
@@ -211,5 +213,5 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = whole.mapInArrow(binned, "doc_id long, text string, bin long").hint("rebalance", "bin").select("doc_id", "text")
+    dealt = whole.mapInArrow(binned, "doc_id long, text string, bin long").hint("rebalance", "bin").sortWithinPartitions("bin").select("doc_id", "text")
     return dealt.mapInArrow(coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep_ids)

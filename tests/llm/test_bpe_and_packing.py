@@ -96,3 +96,25 @@ def test_little_padding():
     histogram = {n: lengths.count(n) for n in set(lengths)}
     packs = sum(c for c, _ in packing.shortest_pack_first(histogram, 4096))
     assert sum(lengths) / (packs * 4096) > 0.99
+
+
+def test_encodings_over_several_tasks(spark):
+    """Documents that share passages: how often chunks are encoded in all tasks together, against how many different ones there are."""
+    rng = random.Random(8)
+    shared = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 999)) for _ in range(600)) for _ in range(8)]
+    rows = [(i, shared[i % 8] + f" end {i % 3}") for i in range(160)]
+    encoded, reached = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    dealt = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bins = dealt.rdd.map(lambda r: (bpe._bin(r["text"]), r["text"])).groupByKey(4)
+
+    def count(parts):
+        chunks = bpe.Chunks(bpe.Words(bpe.vocabulary_path()))
+        for _, texts in parts:
+            for t in texts:
+                chunks.encode(t)
+                reached.add(len(bpe.cuts(t.encode())))
+        encoded.add(chunks.encoded)
+
+    bins.foreachPartition(count)
+    different = {t.encode()[s:e] for _, t in rows for s, e in zip([0, *bpe.cuts(t.encode())], bpe.cuts(t.encode()), strict=False)}
+    assert len(different) <= encoded.value <= 1.5 * len(different) < 0.2 * reached.value
