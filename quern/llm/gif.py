@@ -4,7 +4,8 @@
 indices, deferred clear codes. ``encode`` writes frames of 8-bit samples under a grey palette, so a sample is its own colour.
 
 Defined results: a null text is stored as 64 zero bytes, like an empty one; equal texts give equal bytes and features; a stored form that
-breaks off or isn't a GIF raises ValueError with the place; texts of any length are stored whole, in several frames.
+breaks off or isn't a GIF raises ValueError with the place; texts of any length are stored whole, in several frames; repeated rows each get their result; an
+empty table gives an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ A document's ids are cut into pieces of at most ``capacity``; the histogram of p
 driver, which places lengths longest first, each into the emptiest pack that it fits, and counts how often each pattern of
 lengths occurs. The patterns then meet the pieces again by the rank of a piece among those of its length.
 
-Defined results: a null text counts as empty; a document of no ids still has its closing id; an empty table gives no pieces.
+Defined results: a null text counts as empty; a document of no ids still has its closing id; repeated rows
+are packed as often as they occur; pieces that tie in length, id, place and checksum are alike, so their order doesn't matter; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ regression on a text's weight in it and on its number of words gives a probabili
 one text count once there, and near copies, told by a min-hash over word triples, too.
 
 Defined results: null and empty texts are scored like any text without a lexicon word; texts of any length count whole; without
-labelled rows of both classes every score is 0; equal texts get equal scores.
+labelled rows of both classes every score is 0; equal texts get equal scores; a score of exactly 0.5 predicts 1; of readings that tie the one later in the alphabet wins; an id
+that is labelled twice has the larger label; repeated rows each get their score; an empty table gives an empty result; columns other than these are not read.
 """
 
 from __future__ import annotations
