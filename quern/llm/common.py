@@ -56,7 +56,12 @@ def release(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing will read again, not even a retried task, and let Spark drop the shuffles behind them."""
     for t in tables:
         _delete(t.sparkSession, t.quern_path)
-    tables[0].sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of what has been collected
+    drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished queries now: it does so once their plans are collected, which may take long by itself."""
+    spark._jvm.System.gc()
 
 
 def clean(spark: SparkSession) -> None:

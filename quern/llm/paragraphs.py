@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, join_skewed, materialize, release, renumbered, sliced
+from quern.llm.common import components, drop_shuffles, join_skewed, materialize, release, renumbered, sliced
 
 LEAST = 5
 #: Words of a seed, and of a passage at least.
@@ -285,6 +285,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     short = F.xxhash64("class").alias("short")
     keys = rows.select(F.explode("bands").alias("key"), short, ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"))
     colliding = materialize(keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(adjacent, "key long, short long, counts boolean"), "colliding")
+    drop_shuffles(docs.sparkSession)
     # of buckets with the same members one is compared
     same = [F.count("*"), F.min("short"), F.max("short"), F.bit_xor("short"), F.bit_xor(F.xxhash64("short")), F.sum(F.shiftright(F.xxhash64("short", F.lit(1)), 24))]
     alike = colliding.groupBy("key").agg(F.max("counts").alias("counts"), *[c.alias(f"same{k}") for k, c in enumerate(same)]).where("counts")
@@ -312,6 +313,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([entries.field(2), pa.array(sets, pa.binary())], ["class", "grams"])
 
     grams = materialize(texts.mapInArrow(sets_of, "class binary, grams binary"), "grams")
+    drop_shuffles(docs.sparkSession)
     dealt = buckets.join(grams.withColumn("short", short), "short").repartition("key").sortWithinPartitions("key", "class").select("key", "class", "grams")
 
     def edges(batches):
@@ -407,12 +409,12 @@ def passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     rows = materialize(docs.mapInArrow(sown, "doc_id long, line long, at long, class long"), "seeds")
     more, classes = repeated(rows, rows.count(), "seed-classes")
-    again = materialize(more.drop("n").join(lines.select("doc_id", "line"), ["doc_id", "line"], "left_anti"), "repeated-seeds")
+    again = materialize(more.drop("n").join(lines.select("doc_id", "line").hint("merge"), ["doc_id", "line"], "left_anti"), "repeated-seeds")
     release(rows, classes)
     more, classes = repeated(again, again.count(), "free-classes")
     wanted = more.groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
     gone = lines.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    listed = materialize(wanted.join(gone, "doc_id", "left"), "wanted")
+    listed = materialize(wanted.join(gone.hint("merge"), "doc_id", "left"), "wanted")
     release(again, classes)
     around = docs.join(listed.hint("merge"), "doc_id").select("doc_id", "text", "wanted", "gone")
 
@@ -437,6 +439,7 @@ def passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array((chosen - first[doc]).astype(np.int64)), _binaries([_grams(r.hashes, f)[chosen] for f in _FOR_WINDOWS])], ["doc_id", "at", "class"])
 
     near = materialize(around.mapInArrow(compared, "doc_id long, at long, class binary"), "windows")
+    drop_shuffles(docs.sparkSession)
     more, classes = repeated(near, near.count(), "window-classes", F.min("doc_id").alias("first_doc"))
     equal = more.select("doc_id", F.struct("at", "n", "first_doc", F.xxhash64("class").alias("name")).alias("x"))
     held = materialize(equal.groupBy("doc_id").agg(F.collect_list("x").alias("found")), "equal-windows")
@@ -495,7 +498,8 @@ def _duplicates(docs: DataFrame, least: int) -> DataFrame:
     whole_ones = join_skewed(whole_ones, stays, "component", "m", out.count())
     whole_ones = materialize(whole_ones.withColumn("removed", place != F.col("stays")).withColumn("kind", F.lit("paragraph")), "wholes")
     gone = whole_ones.where("removed").select("doc_id", F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("line"), F.lit(True).alias("gone"))
-    single = materialize(out.where("level = 0").join(gone, ["doc_id", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "single")
+    # never a broadcast: the planner can't tell how many lines the paragraphs have
+    single = materialize(out.where("level = 0").join(gone.hint("merge"), ["doc_id", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "single")
     firsts = single.groupBy("component").agg(F.coalesce(F.min(F.when(~F.col("gone"), place)), F.min(place)).alias("stays"), F.count("*").alias("m"))
     firsts = materialize(firsts, "stays")
     single_out = join_skewed(single, firsts, "component", "m", single.count())
