@@ -21,6 +21,7 @@ text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -254,44 +255,110 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) ->
     return edges
 
 
-def adjacent(batches):
-    """(key, short, counts), sorted by key and short, in a stream: what shares its key with another short, each once."""
-
-    def told(key: np.ndarray, short: np.ndarray, counts: np.ndarray):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(short), pa.array(counts)], ["key", "short", "counts"])
-
-    held, open_ = None, False  # the last different row so far, and whether it shares its key with the one before it
-    for b in batches:
-        key, short, counts = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if held is not None:
-            key, short, counts = (np.concatenate([h, x]) for h, x in zip(held, (key, short, counts), strict=True))
-        if not len(key):
-            continue
-        new = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(short) != 0)))
-        key, short, counts = key[new], short[new], np.logical_or.reduceat(counts, new)
-        same = np.diff(key) == 0
-        shares = np.append(open_, same) | np.append(same, False)
-        if shares[:-1].any():
-            yield told(*(x[:-1][shares[:-1]] for x in (key, short, counts)))
-        open_ = bool(shares[-1])
-        held = key[-1:].copy(), short[-1:].copy(), counts[-1:].copy()
-    if open_:
-        yield told(*held)
-
-
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs: (doc_id, text); rows: the occurrences. Returns edges (a, b) between classes."""
+#: What travels to find keys that come with different others: band keys with short names of classes, seeds with their places.
+_BANDED = np.dtype([("key", "u8"), ("other", "i8"), ("counts", "u1"), ("mark", "u1")])
+_SOWN = np.dtype([("key", "u8"), ("doc_id", "i8"), ("line", "i4"), ("at", "i4"), ("mark", "u1")])
+#: Rows that a task gathers before it sends them, and rows that a bucket holds on average.
+FLUSH, BUCKET = 500_000, 1 << 17
+
+
+def _many(key: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key, and in it which rows are the first of their key, and which have a key that comes with different others (or, without others, twice)."""
+    order = np.argsort(key)
+    k = key[order]
+    first = np.append(True, k[1:] != k[:-1])[: len(k)]
+    head = np.flatnonzero(first)
+    size = np.diff(np.append(head, len(k)))
+    many = size > 1
+    if other is not None and many.any():
+        o = other[order]
+        many = np.minimum.reduceat(o, head) != np.maximum.reduceat(o, head)
+    return order, first, np.repeat(many, size)
+
+
+def sent(rows: np.ndarray, n: int) -> pa.RecordBatch:
+    """rows in n buckets by their keys, packed. Of a key that comes with different others already here, only the first row goes to its bucket, marked 1; the
+    others, marked 2, are spread over all buckets, so that a hot key sends its bucket one row for each call and no more."""
+    order, first, many = _many(rows["key"], rows["other"] if "other" in rows.dtype.names else None)
+    mark = np.empty(len(rows), np.uint8)
+    mark[order] = np.where(many, 2 - first, np.where(first, 0, 3))
+    rows["mark"] = mark
+    rows = rows[mark < 3]  # 3: the same key and other once more
+    spread = rows["other"] if "other" in rows.dtype.names else rows["doc_id"] + rows["at"].astype(np.int64)
+    route = np.where(rows["mark"] == 2, _mix((rows["key"] ^ spread.astype(U)) * _SPREAD), rows["key"])
+    bucket = (route >> U(32)) * U(n) >> U(32)
+    order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")  # rows of a bucket stay in the order of texts
+    rows, bucket = rows[order], bucket[order].astype(np.int64)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    offsets = (np.append(cut, len(rows)) * rows.dtype.itemsize).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])], ["bucket", "rows"])
+
+
+def gathered(parts: Iterable[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+    """All rows in calls of ``sent`` for FLUSH rows each or little more."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= FLUSH:
+            yield sent(np.concatenate(held), n)
+            held, size = [], 0
+    if size:
+        yield sent(np.concatenate(held), n)
+
+
+def shared(packed: DataFrame, dtype: np.dtype, schema: str) -> DataFrame:
+    """packed: (bucket, rows). The rows whose key comes with different others anywhere, some of them repeatedly."""
+    names = [x for x in dtype.names if x != "mark"]
+
+    def told(blocks: list[bytes]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(blocks), dtype)
+        own = rows[rows["mark"] < 2]
+        order, _, many = _many(own["key"], own["other"] if "other" in names else None)
+        known = np.isin(own["key"], own["key"][own["mark"] == 1])
+        known[order] |= many
+        out = np.concatenate([own[known], rows[rows["mark"] == 2]])
+        return pa.RecordBatch.from_arrays([pa.array(out[x].astype(bool) if x == "counts" else out[x].astype(np.int64)) for x in names], schema.replace(",", "").split()[::2])
+
+    def found(batches):
+        blocks, last = [], None
+        for b in batches:
+            for bucket, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != last and blocks:
+                    yield told(blocks)
+                    blocks = []
+                last = bucket
+                blocks.append(block)
+        if blocks:
+            yield told(blocks)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(found, schema)
+
+
+def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs: (doc_id, text); rows: the occurrences. Returns edges (a, b) between classes, and the rows, as a new table, without their bands."""
     # candidates travel under a short name of their class: if two classes share one, more is compared, and nothing is lost
     short = F.xxhash64("class").alias("short")
-    keys = rows.select(F.explode("bands").alias("key"), short, ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"))
-    colliding = materialize(keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(adjacent, "key long, short long, counts boolean"), "colliding")
-    drop_shuffles(docs.sparkSession)
+    banded = rows.where(F.size("bands") > 0).select(short, ((F.col("level") == 0) | (F.col("lines") > 1)).alias("counts"), "bands")
+    n = rows.count() * BANDS // BUCKET + 1
+
+    def keyed(batches):
+        for b in batches:
+            keys, row = _lists(b.column(2))
+            out = np.empty(len(keys), _BANDED)
+            out["key"], out["other"], out["counts"] = keys.to_numpy(), b.column(0).to_numpy()[row], b.column(1).to_numpy(zero_copy_only=False)[row]
+            yield out
+
+    found = shared(banded.mapInArrow(lambda batches: gathered(keyed(batches), n), "bucket long, rows binary"), _BANDED, "key long, short long, counts boolean")
+    colliding = materialize(found.groupBy("key", "short").agg(F.max("counts").alias("counts")), "colliding")
+    lean = materialize(rows.withColumn("banded", F.size("bands") > 0).drop("bands"), "lean")
+    release(rows)
     # of buckets with the same members one is compared
     same = [F.count("*"), F.min("short"), F.max("short"), F.bit_xor("short"), F.bit_xor(F.xxhash64("short")), F.sum(F.shiftright(F.xxhash64("short", F.lit(1)), 24))]
     alike = colliding.groupBy("key").agg(F.max("counts").alias("counts"), *[c.alias(f"same{k}") for k, c in enumerate(same)]).where("counts")
     once = alike.groupBy(*[f"same{k}" for k in range(len(same))]).agg(F.min("key").alias("key"))
     buckets = materialize(colliding.join(once.select("key"), "key").drop("counts"), "buckets")
-    places = rows.where(F.size("bands") > 0).select(short, "class", F.struct("doc_id", "line", "level").alias("place")).join(buckets.select("short").distinct(), "short", "left_semi")
+    places = lean.where("banded").select(short, "class", F.struct("doc_id", "line", "level").alias("place")).join(buckets.select("short").distinct(), "short", "left_semi")
     wanted = places.groupBy("class").agg(F.min("place").alias("place")).groupBy("place.doc_id").agg(F.collect_list(F.struct("place.line", "place.level", "class")).alias("wanted"))
     texts = docs.join(wanted.hint("merge"), "doc_id").select("text", "wanted")
 
@@ -344,7 +411,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     found = materialize(dealt.mapInArrow(edges, "a binary, b binary"), "links")
     release(colliding, buckets, grams)
-    return found
+    return found, lean
 
 
 def seeds(r: Read) -> np.ndarray:
@@ -389,8 +456,8 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
 
 
-def passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). Passages that repeat, outside the removed lines given as (doc_id, line), each once: same columns as ``duplicates``. Lines that stay
+def passages(docs: DataFrame, lines: DataFrame, words: int) -> DataFrame:
+    """docs: (doc_id, text), of about so many words. Passages that repeat, outside the removed lines given as (doc_id, line), each once: same columns as ``duplicates``. Lines that stay
     take part, so the copy that stays is chosen over lines and passages together."""
 
     def sown(batches):
@@ -398,19 +465,19 @@ def passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
             ids, r = b.column(0).to_numpy(), read(b.column(1).to_pylist())
             at = seeds(r)
             if len(at):
-                doc, h = r.doc[at], _grams(r.hashes, _FOR_SEEDS)[at]
-                first = np.searchsorted(r.doc, doc)
-                columns = [ids[doc], r.line[at] - r.first_line[doc], at - first, h.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc_id", "line", "at", "class"])
+                doc, out = r.doc[at], np.empty(len(at), _SOWN)
+                out["key"], out["doc_id"] = _grams(r.hashes, _FOR_SEEDS)[at], ids[doc]
+                out["line"], out["at"] = r.line[at] - r.first_line[doc], at - np.searchsorted(r.doc, doc)
+                yield out
 
     def repeated(rows: DataFrame, total: int, name: str, *more) -> tuple[DataFrame, DataFrame]:
         classes = materialize(rows.groupBy("class").agg(F.count("*").alias("n"), *more).where("n > 1"), name)
         return join_skewed(rows, classes, "class", "n", total), classes
 
-    rows = materialize(docs.mapInArrow(sown, "doc_id long, line long, at long, class long"), "seeds")
-    more, classes = repeated(rows, rows.count(), "seed-classes")
-    again = materialize(more.drop("n").join(lines.select("doc_id", "line").hint("merge"), ["doc_id", "line"], "left_anti"), "repeated-seeds")
-    release(rows, classes)
+    n = words // (RUN - SEED) * 2 // BUCKET + 1
+    found = shared(docs.mapInArrow(lambda batches: gathered(sown(batches), n), "bucket long, rows binary"), _SOWN, "class long, doc_id long, line long, at long")
+    again = materialize(found.join(lines.select("doc_id", "line").hint("merge"), ["doc_id", "line"], "left_anti"), "repeated-seeds")
+    drop_shuffles(docs.sparkSession)
     more, classes = repeated(again, again.count(), "free-classes")
     wanted = more.groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
     gone = lines.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
@@ -483,14 +550,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _duplicates(docs: DataFrame, least: int) -> DataFrame:
     rows = materialize(occurrences(docs, least), "paragraphs")
-    edges = links(docs, rows)
+    words = rows.where("level = 0").agg(F.sum("n_words")).first()[0] or 0
+    edges, rows = links(docs, rows)
     joined = components(edges).withColumnRenamed("node", "class")
     classes = rows.groupBy("class").agg(F.count("*").alias("n"), F.max("level").alias("level"), F.max("lines").alias("lines"))
     named = materialize(classes.join(joined, "class", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "class")), "named")
     release(edges)
     group = named.groupBy("component").agg(F.sum("n").alias("class_size"), F.max(F.greatest("lines", 2 - F.col("level"))).alias("several")).where("several > 1")
     members = materialize(named.join(group, "component").select("class", "n", "component", "class_size"), "members")
-    out = materialize(join_skewed(rows.drop("bands"), members, "class", "n", rows.count()).drop("class", "n"), "out")
+    out = materialize(join_skewed(rows.drop("banded"), members, "class", "n", rows.count()).drop("class", "n"), "out")
     release(rows, named, members)
     place = F.struct("doc_id", "line")
     whole_ones = out.where("level = 1")
@@ -508,7 +576,7 @@ def _duplicates(docs: DataFrame, least: int) -> DataFrame:
     lines = materialize(single_out.select(*columns).unionByName(whole_ones.select(*columns)), "lines")
     taken = materialize(lines.where("removed and kind = 'line'").select("doc_id", "line").unionByName(gone.select("doc_id", "line")).distinct(), "taken")
     release(out, single, whole_ones, stays, firsts)
-    return lines.unionByName(passages(docs, taken).withColumn("kind", F.lit("passage")))
+    return lines.unionByName(passages(docs, taken, words).withColumn("kind", F.lit("passage")))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
