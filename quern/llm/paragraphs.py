@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import components, drop_shuffles, join_skewed, materialize, release, renumbered, sliced
 
 LEAST = 5
-#: Words of a seed, and of a passage at least.
+#: Words of a seed, and of a passage at least (a power of two).
 SEED, RUN = 6, 16
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 16, 4, 0.8
 U = np.uint64
@@ -45,7 +45,7 @@ def _odd(*shape: int) -> np.ndarray:
 
 _FACTORS, _TURNS = _odd(SHINGLE), _odd(BANDS * ROWS)
 #: For a seed's hash, and the two halves of a window's digest.
-_FOR_SEEDS, _FOR_WINDOWS = _odd(SEED), _odd(2, RUN)
+_FOR_SEEDS, _FOR_WINDOWS = _odd(SEED), _odd(2, RUN.bit_length() - 1)
 #: What a character stands for, and the bases of the digests of words, and of lines and paragraphs.
 _CHARACTERS, _SPREAD, _BASE, _HALVES = _odd(0x3001), U(0x9E3779B97F4A7C15), int(_odd(1)[0]), [int(x) for x in _odd(2)]
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
@@ -127,6 +127,15 @@ def _grams(w: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return _mix(sum((w[k : len(w) - n + 1 + k] * factors[k] for k in range(1, n)), w[: len(w) - n + 1] * factors[0]))
 
 
+def _windows(w: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Hash of each 2^n words in a row, where there are n factors."""
+    h, size = _mix(w + factors[0]), 1
+    for f in factors:
+        h = h[:-size] * f + h[size:]
+        size *= 2
+    return _mix(h)
+
+
 def _shingles(r: Read) -> np.ndarray:
     h, n = r.hashes, len(r.hashes) - SHINGLE + 1
     return _mix(sum((h[j : n + j] * _FACTORS[j] for j in range(1, SHINGLE)), h[:n] * _FACTORS[0])) if n > 0 else np.zeros(0, U)
@@ -255,9 +264,10 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) ->
     return edges
 
 
-#: What travels to find keys that come with different others: band keys with short names of classes, seeds with their places.
+#: What travels to find keys that come with different others: band keys with short names of classes, seeds and windows with their places.
 _BANDED = np.dtype([("key", "u8"), ("other", "i8"), ("counts", "u1"), ("mark", "u1")])
 _SOWN = np.dtype([("key", "u8"), ("doc_id", "i8"), ("line", "i4"), ("at", "i4"), ("mark", "u1")])
+_WINDOWED = np.dtype([("key", "u8"), ("half", "u8"), ("doc_id", "i8"), ("at", "i4"), ("mark", "u1")])
 #: Rows that a task gathers before it sends them, and rows that a bucket holds on average.
 FLUSH, BUCKET = 500_000, 1 << 17
 
@@ -309,7 +319,12 @@ def gathered(parts: Iterable[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
 
 def shared(packed: DataFrame, dtype: np.dtype, schema: str) -> DataFrame:
     """packed: (bucket, rows). The rows whose key comes with different others anywhere, some of them repeatedly."""
-    names = [x for x in dtype.names if x != "mark"]
+    names = [x for x in dtype.names if x not in ("mark", "half")]
+
+    def column(out: np.ndarray, name: str) -> pa.Array:
+        if name == "key" and "half" in dtype.names:
+            return _binaries([out["key"], out["half"]])
+        return pa.array(out[name].astype(bool if name == "counts" else np.int64))
 
     def told(blocks: list[bytes]) -> pa.RecordBatch:
         rows = np.frombuffer(b"".join(blocks), dtype)
@@ -318,7 +333,7 @@ def shared(packed: DataFrame, dtype: np.dtype, schema: str) -> DataFrame:
         known = np.isin(own["key"], own["key"][own["mark"] == 1])
         known[order] |= many
         out = np.concatenate([own[known], rows[rows["mark"] == 2]])
-        return pa.RecordBatch.from_arrays([pa.array(out[x].astype(bool) if x == "counts" else out[x].astype(np.int64)) for x in names], schema.replace(",", "").split()[::2])
+        return pa.RecordBatch.from_arrays([column(out, x) for x in names], schema.replace(",", "").split()[::2])
 
     def found(batches):
         blocks, last = [], None
@@ -414,17 +429,19 @@ def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, lean
 
 
-def seeds(r: Read) -> np.ndarray:
-    """The first words of the seeds: any RUN words in a row have one, which depends on these words alone."""
+def seeds(r: Read) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of the seeds, and their hashes: any RUN words in a row have one, which depends on these words alone."""
     h = _grams(r.hashes, _FOR_SEEDS)
     inside = r.doc[: len(r.doc) - RUN + 1] == r.doc[RUN - 1 :] if len(r.doc) >= RUN else np.zeros(0, bool)
     if not inside.any():
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), h
     least = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U)  # of equal hashes the first
     for step in (1, 2, 4):
         least = np.minimum(least[:-step], least[step:])
     least = np.minimum(least[: len(inside)], least[RUN - SEED + 1 - 8 : RUN - SEED + 1 - 8 + len(inside)])
-    return np.unique((least[inside] & U(0xFFFFFFFF)).astype(np.int64))
+    at = (least & U(0xFFFFFFFF)).astype(np.int64)[inside]  # ascending, as windows move on: equal ones are neighbours
+    at = at[np.append(True, at[1:] != at[:-1])]
+    return at, h[at]
 
 
 def runs(at: np.ndarray, n: np.ndarray, first_doc: np.ndarray, name: np.ndarray, doc: int, words: int) -> list[tuple]:
@@ -463,11 +480,11 @@ def passages(docs: DataFrame, lines: DataFrame, words: int) -> DataFrame:
     def sown(batches):
         for b in sliced(batches, 500):
             ids, r = b.column(0).to_numpy(), read(b.column(1).to_pylist())
-            at = seeds(r)
+            at, hashes = seeds(r)
             if len(at):
                 doc, out = r.doc[at], np.empty(len(at), _SOWN)
-                out["key"], out["doc_id"] = _grams(r.hashes, _FOR_SEEDS)[at], ids[doc]
-                out["line"], out["at"] = r.line[at] - r.first_line[doc], at - np.searchsorted(r.doc, doc)
+                out["key"], out["doc_id"] = hashes, ids[doc]
+                out["line"], out["at"] = r.line[at] - r.first_line[doc], at - np.searchsorted(r.doc, np.arange(b.num_rows))[doc]
                 yield out
 
     def repeated(rows: DataFrame, total: int, name: str, *more) -> tuple[DataFrame, DataFrame]:
@@ -502,10 +519,14 @@ def passages(docs: DataFrame, lines: DataFrame, words: int) -> DataFrame:
             near = (np.cumsum(change)[:n] > 0) & (r.doc[:n] == r.doc[RUN - 1 :]) & (touched[RUN:] == touched[:-RUN])
             chosen = np.flatnonzero(near)
             if len(chosen):
-                doc = r.doc[chosen]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array((chosen - first[doc]).astype(np.int64)), _binaries([_grams(r.hashes, f)[chosen] for f in _FOR_WINDOWS])], ["doc_id", "at", "class"])
+                doc, out = r.doc[chosen], np.empty(len(chosen), _WINDOWED)
+                out["key"], out["half"] = (_windows(r.hashes, f)[chosen] for f in _FOR_WINDOWS)
+                out["doc_id"], out["at"] = ids[doc], chosen - first[doc]
+                yield out
 
-    near = materialize(around.mapInArrow(compared, "doc_id long, at long, class binary"), "windows")
+    n = words // BUCKET + 1
+    found = shared(around.mapInArrow(lambda batches: gathered(compared(batches), n), "bucket long, rows binary"), _WINDOWED, "class binary, doc_id long, at long")
+    near = materialize(found, "windows")
     drop_shuffles(docs.sparkSession)
     more, classes = repeated(near, near.count(), "window-classes", F.min("doc_id").alias("first_doc"))
     equal = more.select("doc_id", F.struct("at", "n", "first_doc", F.xxhash64("class").alias("name")).alias("x"))
