@@ -290,6 +290,9 @@ def sent(rows: np.ndarray, n: int) -> pa.RecordBatch:
     """rows in n buckets by their keys, packed. Of a key that comes with different others already here, only the first row goes to its bucket, marked 1; the
     others, marked 2, are spread over all buckets, so that a hot key sends its bucket one row for each call and no more."""
     order, first, many = _many(rows["key"], rows["other"] if "other" in rows.dtype.names else None)
+    if "counts" in rows.dtype.names:  # a key counts if one of its rows does
+        head = np.flatnonzero(first)
+        rows["counts"][order] = np.repeat(np.maximum.reduceat(rows["counts"][order], head), np.diff(np.append(head, len(rows))))
     mark = np.empty(len(rows), np.uint8)
     mark[order] = np.where(many, 2 - first, np.where(first, 0, 3))
     rows["mark"] = mark

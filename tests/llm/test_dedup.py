@@ -299,3 +299,24 @@ def test_one_passage_among_many_neighbours(spark):
     mixed = {i: f"{prose(20_000 + i, 3)} {passage} {prose(30_000 + i, 3)}" for i in range(3000)}
     df = spark.createDataFrame(list(mixed.items()), "doc_id long, text string").repartition(4)
     assert by_id(suffixes.dedup(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute(mixed)
+
+
+def test_packed_keys_are_found_wherever_they_meet(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    hot = rng.random(30_000) < 0.3
+    keys = paragraphs._mix(np.where(hot, 50_000, rng.integers(1, 40_000, 30_000)).astype(np.uint64) * paragraphs._SPREAD)  # one key has a third of all rows
+    rows = np.zeros(len(keys), paragraphs._BANDED)
+    rows["key"], rows["other"], rows["counts"] = keys, rng.integers(0, np.where(hot, 5000, 3)), rng.random(len(keys)) < 0.1
+    others, counts = {}, {}
+    for k, o, c in zip(rows["key"].tolist(), rows["other"].tolist(), rows["counts"].tolist(), strict=True):
+        others.setdefault(k, set()).add(o)
+        counts[k] = counts.get(k, False) or bool(c)
+    monkeypatch.setattr(paragraphs, "FLUSH", 1000)
+    packed = [(b, r) for batch in paragraphs.gathered(np.array_split(rows, 100), 16) for b, r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    sizes = {}
+    for b, r in packed:
+        sizes[b] = sizes.get(b, 0) + len(r) // paragraphs._BANDED.itemsize
+    assert max(sizes.values()) < 2 * sum(sizes.values()) / 16  # the hot key doesn't fill its bucket
+    found = paragraphs.shared(spark.createDataFrame(packed, "bucket long, rows binary"), paragraphs._BANDED, "key long, short long, counts boolean").collect()
+    assert {(r["key"], r["short"]) for r in found} == {(k - (1 << 64 if k >> 63 else 0), o) for k, os in others.items() if len(os) > 1 for o in os}
+    assert {r["key"] for r in found if r["counts"]} == {k - (1 << 64 if k >> 63 else 0) for k, os in others.items() if len(os) > 1 and counts[k]}
